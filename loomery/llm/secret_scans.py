@@ -81,8 +81,8 @@ def _battery(s: Column) -> Column:
     chi = size / n * squares - n
     text_chi = (size - 1) + (n - 1) * (size * 0.065 - 1)
     z_chi = (chi - text_chi) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * F.abs(size * 0.065 - 1))
-    # Runs of one character class: text changes class at word borders only.
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
+    # Runs of one character class: text changes class at word borders only, and separators are no class.
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[=_-]+", ""), "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
     runs = F.length(classes).cast("double")
     text_runs = 1 + (n - 1) * 0.12
     z_runs = (text_runs - runs) / F.sqrt((n - 1) * 0.12 * 0.88 + 0.25)
