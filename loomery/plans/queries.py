@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomery.functions import text as tx
 from loomery.functions import urls
-from loomery.operators import executions, graph, rates, records, similarity, url_predicates, url_scores
+from loomery.operators import executions, extraction, graph, merging, rates, records, similarity, url_predicates, url_scores
 from loomery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,3 +469,92 @@ def system_health(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'")
 def retention(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("ts >= TIMESTAMP_NTZ '2024-01-10 00:00:00'").select("event_id")
+
+
+@query("SELECT page_id, i - 1 AS pos, len(regexp_extract_all(b, '(?i)<li\\b')) AS items FROM (SELECT page_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<ul\\b[^>]*>.*?</ul\\s*>') AS bs FROM pages)) WHERE items > 0")
+def html_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.lists(table(spark, sf, "pages"), "page_id").select("page_id", F.col("pos").cast("long").alias("pos"), F.col("items").cast("long").alias("items"))
+
+
+@query("""SELECT page_id, len(l) AS links, l[1] AS first_link FROM (SELECT page_id, regexp_extract_all(b, '(?i)<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"''>]*)["'']', 1) AS l FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<nav\\b[^>]*>.*?</nav\\s*>')) AS b FROM pages)) WHERE len(l) >= 3""")
+def html_navigation(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.navigation(table(spark, sf, "pages"), "page_id").select("page_id", F.col("links").cast("long").alias("links"), F.get("first_links", 0).alias("first_link"))
+
+
+@query("""SELECT page_id, NULLIF(trim(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)), '') AS heading, NULLIF(trim(regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1)), '') AS lang FROM pages""")
+def html_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.fields(table(spark, sf, "pages"), "page_id", {"heading": r"(?is)<h1\b[^>]*>(.*?)</h1>", "lang": r'(?i)<html[^>]*\blang="([^"]*)"'})
+
+
+@query("""SELECT c_custkey, round(0.7 * f / 3.0 + 0.3 * CASE WHEN f = 0 THEN 0 ELSE q / f END, 4) AS confidence FROM (SELECT c_custkey, (length(c_name) > 0)::INT + (length(c_nationkey::VARCHAR) > 0)::INT + (length(c_mktsegment) > 0)::INT AS f,
+       CASE WHEN length(c_name) > 2 THEN 1 ELSE 0.3 END + CASE WHEN length(c_nationkey::VARCHAR) > 2 THEN 1 ELSE 0.3 END + CASE WHEN length(c_mktsegment) > 2 THEN 1 ELSE 0.3 END AS q FROM customer)""")
+def extraction_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    values = [F.col(c) for c in ("c_name", "c_nationkey", "c_mktsegment")]
+    return table(spark, sf, "customer").select("c_custkey", r4(merging.extraction_confidence(values)).alias("confidence"))
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def distinct_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.distinct_first(table(spark, sf, "events"), "event_type", "event_id").select("event_type", "event_id", "value")
+
+
+@query("SELECT lower(p_brand) AS name, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand), p_size ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
+def entity_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    best = merging.best_confidence(table(spark, sf, "part"), [F.lower("p_brand"), F.col("p_size")], "p_retailprice", "p_partkey")
+    return best.select(F.lower("p_brand").alias("name"), "p_partkey", "p_retailprice")
+
+
+@query("SELECT user_id, event_type, min_by(props, event_id) AS props FROM events WHERE length(trim(props)) > 0 GROUP BY 1, 2")
+def merge_by_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.merge_by_priority(table(spark, sf, "events"), "user_id", "event_type", "props", "event_id")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, props, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, props) AS r FROM events)
+       SELECT user_id, event_type, max(props) FILTER (r = 1) AS props, count(DISTINCT props) - 1 AS conflicts FROM r GROUP BY 1, 2""")
+def merge_by_weight(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.merge_by_weight(table(spark, sf, "events"), "user_id", "event_type", "props", "value")
+
+
+@query("SELECT user_id, missing FROM (SELECT DISTINCT user_id FROM events), (VALUES ('view'), ('signup'), ('purchase'), ('click'), ('error')) AS v(missing) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = events.user_id AND event_type = missing)".replace("(SELECT DISTINCT user_id FROM events)", "(SELECT DISTINCT user_id FROM events) AS events"))
+def missing_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return merging.missing_fields(table(spark, sf, "events"), "user_id", "event_type", ["view", "signup", "purchase", "click", "error"])
+
+
+@query("SELECT count(s) AS total, round(avg(s), 4) AS average, max(s) AS highest, min(s) AS lowest, count(*) FILTER (s >= 0.8) AS high, count(*) FILTER (s >= 0.5 AND s < 0.8) AS medium, count(*) FILTER (s < 0.5) AS low FROM (SELECT l_quantity / 50 AS s FROM lineitem)")
+def score_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    b = merging.score_buckets(table(spark, sf, "lineitem").select((F.col("l_quantity") / 50).alias("s")), "s")
+    return b.select("total", r4(F.col("average")).alias("average"), "highest", "lowest", "high", "medium", "low")
+
+
+@query(f"""WITH p AS (SELECT len({SEGS}) AS depth, len(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"''>]*)["'']')) AS n FROM pages)
+       SELECT depth::INT AS depth, count(*) AS pages, sum(n)::BIGINT AS links, round(avg(n), 4) AS avg_links FROM p GROUP BY 1""")
+def crawl_depths(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select(F.size(urls.segments(F.col("url"))).alias("depth"), F.size(tx.hrefs(F.col("html"))).alias("n_links"), F.lit(True).alias("success"))
+    return graph.depth_statistics(p).select("depth", "pages", "links", r4(F.col("avg_links")).alias("avg_links"))
+
+
+@query("SELECT class, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'http') THEN 'linked' WHEN contains(lower(text), '@') THEN 'contact' ELSE 'plain' END AS class FROM documents) GROUP BY 1")
+def content_classes(spark: SparkSession, sf: str) -> DataFrame:
+    c = merging.content_class(F.col("text"), {"linked": ["http"], "contact": ["@"]}, "plain")
+    return table(spark, sf, "documents").groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT failure, count(*) AS n FROM (SELECT CASE WHEN contains(t, 'timeout') THEN 'timeout' WHEN contains(t, 'not found') OR contains(t, '404') THEN 'not_found' WHEN contains(t, 'permission') OR contains(t, 'forbidden') THEN 'permission' WHEN contains(t, 'parse') OR contains(t, 'extract') THEN 'extraction' ELSE 'other' END AS failure FROM (SELECT lower(url) AS t FROM pages)) GROUP BY 1")
+def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return pages(spark, sf).groupBy(executions.failure_class(F.col("url")).alias("failure")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, CASE WHEN avg((value < 20)::INT) > 0.8 THEN 'healthy' WHEN avg((value < 20)::INT) > 0.5 THEN 'degraded' ELSE 'unhealthy' END AS status FROM events GROUP BY 1")
+def provider_status(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg((F.col("value") < 20).cast("int")).alias("rate"))
+    return s.select("event_type", "n", executions.health(F.col("rate")).alias("status"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','from','this','that','are','was')))) AS n FROM documents WHERE lang = 'en'")
+def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.size(tx.keywords(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal >= 6 THEN 'high' WHEN s_acctbal >= 3 THEN 'medium' ELSE 'low' END AS level, round(least(0.5 + least(0.1 * s_nationkey, 0.3) + greatest(0, 0.2 - s_nationkey / 10.0), 1), 4) AS score FROM supplier")
+def strategy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "supplier").select("s_suppkey", merging.complexity(F.col("s_acctbal")).alias("level"), r4(merging.strategy_score(F.lit(0.5), F.col("s_nationkey"), F.col("s_nationkey"))).alias("score"))
