@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.columns import bind
+from loomery.session import durable
 
 NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Added to a tag whose word ends its clause.
@@ -191,7 +192,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Dat
     rates = {c: min(1.0, sample / max(1, sizes.get(c, 0))) for c in (0, 1)}
     rate = F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic", (1 / rate).alias("weight"))
+    # The sample bounds what is broadcast: some 24 bytes for each chosen row.
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", (1 / rate).alias("weight"))
 
 
 def induce_insults(rows: DataFrame, most: int = 2000, support: int = 6, ratio: float = 8.0) -> list[str]:
@@ -217,7 +219,7 @@ def induce_insults(rows: DataFrame, most: int = 2000, support: int = 6, ratio: f
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
     """Extend the insult lexicon and fit the pattern weights."""
-    rows = training_rows(docs, labels, sample)
+    rows = durable(training_rows(docs, labels, sample))
     lexicon = dict.fromkeys(induce_insults(rows), INSULT) | seed_lexicon()
     counted = _profiles(rows, lexicon, ["toxic", "weight"]).groupBy("profile").agg(F.sum(F.col("toxic") * F.col("weight")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("weight")).alias("fine"))
     cells = sorted((tuple(r["profile"]), r["bad"], r["fine"]) for r in counted.collect())
