@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import chat_formatting, decontamination, line_dedup, near_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from loomery.llm.oracles import ORACLES
 from loomery.session import table
 
 #: Parameter: where the vocabulary files lie; executors read the same path.
@@ -39,14 +40,15 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     formatted = chat_formatting.format_chats(turns.unionByName(extra), BYTE_BPE)
-    return chat_formatting.digest_chats(formatted, BYTE_BPE)
+    digests = chat_formatting.digest_chats(formatted, BYTE_BPE)
+    return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     leaks = decontamination.leaks_by_document(docs, table(spark, sf_dir, "benchmark"))
     joined = docs.select("doc_id").alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left")
-    return joined.select("d.doc_id", F.col("l.items").isNotNull().alias("contaminated"), F.coalesce("l.items", F.array().cast("array<bigint>")).alias("items"), "l.similarity")
+    return joined.select("d.doc_id", F.col("l.items").isNotNull().alias("contaminated"), F.coalesce(F.array_join(F.transform("l.items", lambda i: i.cast("string")), ","), F.lit("")).alias("items"), F.round("l.similarity", 6).alias("similarity"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     judged = quality_rules.judge_quality(docs, table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +76,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_secret_scans, op4_chat_formatting, op5_decontamination, op6_line_dedup, op7_quality_rules, op8_near_dedup, op9_url_filters, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
