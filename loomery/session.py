@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,17 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, unless their path already holds it."""
+    root, given = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [given.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
+    if root not in os.pathsep.join(known).split(os.pathsep):
+        given["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known[0]]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
