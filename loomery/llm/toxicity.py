@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words map to a small tag alphabet (insult, threat, target, negation, reported
-speech, clause end). Five transducers read a clause's tags: insult and threat mark
+Words map to a small tag alphabet (insult, doubtful insult, threat, target,
+negation, reported speech, clause end). Five transducers read a clause's tags: insult and threat mark
 hits, the target transducer marks hits aimed at someone, the negation and
 reported-speech transducers mark hits in their scope. Their composition emits one
-pattern per hit; a clause counts once for each pattern, and a document's score is a
-logistic function of its clause counts. The seed lexicons and prior weights are
+pattern per hit, and a document's score is a logistic function of its pattern
+counts. The seed lexicons and prior weights are
 English; labelled rows extend the insult lexicon (words seen in many different
-contexts of toxic texts and hardly elsewhere) and correct the weights.
+contexts of toxic texts and nowhere else; doubtful ones where other texts have them
+at times) and correct the weights.
 
 Learning reads at most about ``sample`` labelled rows of each class, chosen by a
 hash of their text; everything else covers all rows. No score sees an id, label,
@@ -32,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomery.llm.columns import bind
-from loomery.session import durable
+from loomery.session import durable, importable
 
-NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT, DOUBTFUL = range(7)
 #: Added to a tag whose word ends its clause.
 END = 8
 SEEDS = {
@@ -44,9 +45,9 @@ SEEDS = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't nobody neither without".split(),
     REPORT: "said says say wrote writes claimed claims called calls quoted quote reported reports told".split(),
 }
-PATTERNS = ("insult", "insult+target", "insult+negated", "insult+reported", "threat", "threat+target", "threat+negated", "threat+reported")
+PATTERNS = ("insult", "insult+target", "insult+negated", "insult+reported", "threat", "threat+target", "threat+negated", "threat+reported", "doubtful", "doubtful+target")
 #: Prior weights of the patterns by count 1, 2 and 3 or more, and the intercept.
-PRIOR = {"insult": 3.0, "insult+target": 3.5, "insult+negated": 1.0, "insult+reported": 1.0, "threat": 1.5, "threat+target": 3.5, "threat+negated": 0.3, "threat+reported": 0.5}
+PRIOR = {"insult": 3.0, "insult+target": 3.5, "insult+negated": 1.0, "insult+reported": 1.0, "threat": 1.5, "threat+target": 3.5, "threat+negated": 0.3, "threat+reported": 0.5, "doubtful": 1.5, "doubtful+target": 2.0}
 INTERCEPT = -2.2
 _CAP = 3
 _WORD = re.compile(r"^\W+|\W+$")
@@ -70,20 +71,20 @@ def _window(trigger: int, size: int, mark: str) -> Transducer:
     arcs: dict[int, dict[int, tuple[int, str]]] = {0: {trigger: (size, "")}}
     for left in range(1, size + 1):
         hit = (left - 1, mark)
-        arcs[left] = {trigger: (size, ""), INSULT: hit, THREAT: hit, -1: (left - 1, "")}
+        arcs[left] = {trigger: (size, ""), INSULT: hit, THREAT: hit, DOUBTFUL: hit, -1: (left - 1, "")}
     return Transducer(mark, arcs)
 
 
-HITS = Transducer("hit", {0: {INSULT: (0, "insult"), THREAT: (0, "threat")}})
-AIMED = Transducer("target", {0: {TARGET: (1, "")}, 1: {INSULT: (1, "target"), THREAT: (1, "target")}})
+HITS = Transducer("hit", {0: {INSULT: (0, "insult"), THREAT: (0, "threat"), DOUBTFUL: (0, "doubtful")}})
+AIMED = Transducer("target", {0: {TARGET: (1, "")}, 1: {INSULT: (1, "target"), THREAT: (1, "target"), DOUBTFUL: (1, "target")}})
 NEGATED = _window(NEGATION, 3, "negated")
-REPORTED = Transducer("reported", {0: {REPORT: (1, "")}, 1: {INSULT: (1, "reported"), THREAT: (1, "reported")}})
+REPORTED = Transducer("reported", {0: {REPORT: (1, "")}, 1: {INSULT: (1, "reported"), THREAT: (1, "reported"), DOUBTFUL: (1, "reported")}})
 GRAMMAR = (HITS, AIMED, NEGATED, REPORTED)
 
 
-def clause_patterns(tags: bytes, grammar: tuple[Transducer, ...] = GRAMMAR) -> set[str]:
-    """Patterns the composed grammar emits on one clause; negation and report outrank a target."""
-    states, found = [0] * len(grammar), set()
+def clause_patterns(tags: bytes, grammar: tuple[Transducer, ...] = GRAMMAR) -> list[str]:
+    """Patterns the composed grammar emits on one clause; negation and report outrank a target, and clear a doubtful hit."""
+    states, found = [0] * len(grammar), []
     aimed_late = TARGET in tags
     for tag in tags:
         marks = []
@@ -92,7 +93,9 @@ def clause_patterns(tags: bytes, grammar: tuple[Transducer, ...] = GRAMMAR) -> s
             marks.append(mark)
         if marks[0]:
             scope = next((m for m in ("negated", "reported") if m in marks), "target" if aimed_late else "")
-            found.add(marks[0] + (f"+{scope}" if scope else ""))
+            pattern = marks[0] + (f"+{scope}" if scope else "")
+            if pattern in PRIOR:
+                found.append(pattern)
     return found
 
 
@@ -112,12 +115,12 @@ class Tagger(dict):
         return tag
 
 
-_HIT = re.compile(bytes([0x5B, INSULT, THREAT, INSULT + END, THREAT + END, 0x5D]))
+_HIT = re.compile(bytes([0x5B, INSULT, THREAT, DOUBTFUL, INSULT + END, THREAT + END, DOUBTFUL + END, 0x5D]))
 _LAST = re.compile(b"[" + bytes(range(END, 2 * END)) + b"]")
 
 
 def text_profile(tagger: Tagger, text: str | None) -> tuple[int, ...]:
-    """Number of clauses with each pattern, at most ``_CAP``."""
+    """Hits of each pattern in all clauses, at most ``_CAP``."""
     counts = dict.fromkeys(PATTERNS, 0)
     for line in (text or "").split("\n"):
         tags = bytes(map(tagger.__getitem__, line.split()))
@@ -127,7 +130,7 @@ def text_profile(tagger: Tagger, text: str | None) -> tuple[int, ...]:
         for stop in [*(m.end() for m in _LAST.finditer(tags)), len(tags)]:
             clause = bytes(t % END for t in tags[at:stop])
             at = stop
-            if INSULT in clause or THREAT in clause:
+            if _HIT.search(clause):
                 for pattern in clause_patterns(clause):
                     counts[pattern] += 1
     return tuple(min(_CAP, counts[p]) for p in PATTERNS)
@@ -150,6 +153,7 @@ def seed_lexicon() -> dict[str, int]:
 
 def _profiles(docs: DataFrame, lexicon: dict[str, int], keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with each text's profile."""
+    importable(docs.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "profile array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +200,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Dat
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", (1 / rate).alias("weight"))
 
 
-def induce_insults(rows: DataFrame, most: int = 2000, support: int = 6, ratio: float = 8.0) -> list[str]:
-    """Words found in at least ``support`` toxic texts and contexts, weighing ``ratio`` times what clean ones do.
+def induce_insults(rows: DataFrame, most: int = 2000, support: int = 6, ratio: float = 2.0) -> dict[str, int]:
+    """Words found in at least ``support`` toxic texts and contexts: insults if no clean text has them, doubtful if toxic ones weigh ``ratio`` times the clean.
 
     A text counts once for a word, with one context (the neighbouring words), and
     equal contexts count once, so neither repetition within a text nor copies of a
@@ -214,13 +218,14 @@ def induce_insults(rows: DataFrame, most: int = 2000, support: int = 6, ratio: f
     seen = seen.groupBy("word", "context", "toxic").agg(F.max("weight").alias("weight"))
     scored = seen.groupBy("word").agg(F.sum("toxic").alias("n"), F.sum(F.col("toxic") * F.col("weight")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("weight")).alias("fine"))
     found = scored.where((F.col("n") >= support) & (F.col("bad") >= ratio * F.col("fine")))
-    return [r["word"] for r in found.orderBy(F.desc("bad"), "word").limit(most).collect()]
+    sure = (F.col("fine") == 0).alias("sure")
+    return {r["word"]: INSULT if r["sure"] else DOUBTFUL for r in found.select("word", "bad", sure).orderBy(F.desc("bad"), "word").limit(most).collect()}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
     """Extend the insult lexicon and fit the pattern weights."""
     rows = durable(training_rows(docs, labels, sample))
-    lexicon = dict.fromkeys(induce_insults(rows), INSULT) | seed_lexicon()
+    lexicon = seed_lexicon() | induce_insults(rows)
     counted = _profiles(rows, lexicon, ["toxic", "weight"]).groupBy("profile").agg(F.sum(F.col("toxic") * F.col("weight")).alias("bad"), F.sum((1 - F.col("toxic")) * F.col("weight")).alias("fine"))
     cells = sorted((tuple(r["profile"]), r["bad"], r["fine"]) for r in counted.collect())
     return ToxicityModel(lexicon, *fit_weights(cells))
@@ -228,6 +233,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxi
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = False) -> DataFrame:
     """Add ``score`` and ``predicted``; the text stays only if asked for."""
+    importable(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "score double, predicted int"])
 
