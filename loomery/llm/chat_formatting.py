@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.session import importable
+
 #: The template's control strings; reserved ids follow the vocabulary in this order.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|end|>")
 ESCAPE = "␛"
@@ -101,6 +103,7 @@ def _encode_rows(path: str):
 
 def format_chats(turns: DataFrame, tokenizer: str) -> DataFrame:
     """Turns with their ids: place in the conversation, first position, and masked positions loss_start to loss_end."""
+    importable(turns.sparkSession)
     clean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     coded = clean.mapInArrow(_encode_rows(tokenizer), _TURNS)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
