@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.functions import inference
 from loomery.functions import text as tx
 from loomery.functions import urls
-from loomery.operators import executions, extraction, graph, merging, rates, records, similarity, url_predicates, url_scores
+from loomery.operators import executions, extraction, graph, merging, rates, records, similarity, trends, url_predicates, url_scores
 from loomery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,3 +559,76 @@ def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT s_suppkey, CASE WHEN s_acctbal >= 6 THEN 'high' WHEN s_acctbal >= 3 THEN 'medium' ELSE 'low' END AS level, round(least(0.5 + least(0.1 * s_nationkey, 0.3) + greatest(0, 0.2 - s_nationkey / 10.0), 1), 4) AS score FROM supplier")
 def strategy_scores(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", merging.complexity(F.col("s_acctbal")).alias("level"), r4(merging.strategy_score(F.lit(0.5), F.col("s_nationkey"), F.col("s_nationkey"))).alias("score"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'building' ELSE replace(lower(c_mktsegment), ' ', '_') END AS name FROM customer")
+def field_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", inference.field_name(F.col("c_mktsegment")).alias("name"))
+
+
+@query("""SELECT page_id, greatest(CASE WHEN starts_with(h, '#') THEN 10 WHEN contains(h, '.') THEN 8 + least((length(h) - length(replace(h, '.', ''))) * 0.5, 2) WHEN regexp_matches(h, '^[a-zA-Z]+$') THEN 6 ELSE 0 END
+       + CASE WHEN regexp_matches(h, '[ >]') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(h, '[0-9]') THEN 1 ELSE 0 END, 0)::DOUBLE AS score FROM (SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS h FROM pages)""")
+def selector_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return pages(spark, sf).select("page_id", inference.selector_score(urls.netloc(F.col("url"))).alias("score"))
+
+
+@query("SELECT ps AS p_size, round(least(0.3 + least(ps * 0.15, 0.4) + least((ps % 5) * 0.1, 0.3) + least(ps * 0.05, 0.2) + CASE WHEN ps > 0 AND ps % 5 > 0 THEN 0.1 ELSE 0 END, 1), 4) AS confidence FROM (SELECT DISTINCT p_size AS ps FROM part)")
+def hybrid_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("p_size")
+    return table(spark, sf, "part").select("p_size").distinct().select("p_size", r4(inference.hybrid_confidence(s, s % 5, s)).alias("confidence"))
+
+
+@query("""SELECT level, count(*) AS n FROM (SELECT CASE WHEN p >= 6 THEN 'high' WHEN p >= 3 THEN 'medium' ELSE 'low' END AS level FROM (SELECT CASE WHEN regexp_matches(html, 'react|vue|angular') THEN 3 ELSE 0 END
+       + CASE WHEN len(regexp_extract_all(html, '<script')) > 20 THEN 2 WHEN len(regexp_extract_all(html, '<script')) > 10 THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(html, '<form')) > 5 THEN 2 ELSE 0 END
+       + CASE WHEN regexp_matches(html, 'ajax|xhr|fetch|websocket') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, 'captcha|cloudflare|bot') THEN 1 ELSE 0 END AS p FROM pages)) GROUP BY 1""")
+def page_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").groupBy(inference.page_complexity(F.col("html")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CAST(NULLIF(regexp_extract(url, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS number FROM pages")
+def first_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return pages(spark, sf).select("page_id", inference.first_number(F.col("url")).alias("number"))
+
+
+@query("SELECT event_id, props IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL AS valid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_records(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("props")
+    return table(spark, sf, "events").select("event_id", inference.matches_schema(p, {"k": "number"}, ["k"]).alias("valid"), F.get_json_object(inference.json_object(p), "$.k").cast("long").alias("k"))
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+       a AS (SELECT user_id, n, avg(value) FILTER (k <= n // 3) AS e, avg(value) FILTER (k > n - ceil(n / 3)) AS l FROM r GROUP BY 1, 2)
+       SELECT user_id, CASE WHEN n < 5 THEN 'insufficient_data' WHEN l > e * 1.1 THEN 'improving' WHEN l < e * 0.9 THEN 'declining' ELSE 'stable' END AS trend, n FROM a""")
+def trend_thirds(spark: SparkSession, sf: str) -> DataFrame:
+    return trends.trend_by_thirds(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value")
+
+
+@query("""WITH q AS (SELECT l_linenumber AS d, avg(l_quantity) AS q FROM lineitem GROUP BY 1), s AS (SELECT q - lag(q) OVER (ORDER BY d) AS x FROM q), c AS (SELECT count(*) FILTER (x > 0) AS rises, count(*) FILTER (x < 0) AS falls FROM s)
+       SELECT rises, falls, CASE WHEN rises > falls THEN 'improving' WHEN falls > rises THEN 'declining' ELSE 'stable' END AS trend FROM c""")
+def depth_quality_trend(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.avg("l_quantity").alias("q"))
+    return trends.depth_trend(q, "l_linenumber", "q")
+
+
+@query("SELECT event_id, round(least(value / 40 * CASE WHEN value / 30 > 0.8 THEN 1.2 WHEN value / 30 > 0.6 THEN 1.1 ELSE 1 END * CASE WHEN value > 2 THEN 1.15 ELSE 1 END * CASE WHEN user_id % 5 < 3 THEN 1.1 ELSE 1 END, 1), 4) AS score FROM events")
+def boosted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", r4(trends.boosted(v / 40, v / 30, v, F.col("user_id") % 5)).alias("score"))
+
+
+@query("SELECT event_type, round(CASE WHEN s > 0.95 THEN least(10 * 1.1, 20) WHEN s < 0.8 THEN greatest(10 * 0.8, 1) ELSE 10 END, 4)::DOUBLE AS rate FROM (SELECT event_type, avg((value < 15)::INT) AS s FROM events GROUP BY 1)")
+def adaptive_rate(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "events").groupBy("event_type").agg(F.avg((F.col("value") < 15).cast("int")).alias("s"))
+    return s.select("event_type", r4(trends.adaptive_rate(F.lit(10.0), F.lit(10.0), F.col("s"))).alias("rate"))
+
+
+@query("SELECT round(avg(1.0 / (1 + abs(a - i))), 6) AS agreement FROM (SELECT row_number() OVER (ORDER BY p_partkey) AS a, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i FROM part)")
+def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return trends.rank_agreement(table(spark, sf, "part"), "p_partkey", "p_retailprice").select(F.round("agreement", 6).alias("agreement"))
+
+
+@query("SELECT item_id, substr(sha256(text || '_0'), 1, 8) AS head FROM benchmark")
+def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.get(inference.hash_embedding(F.col("text")), 0)
+    word = (first * float(2**31)).cast("long")
+    return table(spark, sf, "benchmark").select("item_id", F.lpad(F.lower(F.hex(F.when(word < 0, word + 2**32).otherwise(word))), 8, "0").alias("head"))
