@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,10 +102,6 @@ def suffix_ranks(pairs: DataFrame, first: str, second: str) -> DataFrame:
     return ranged.select(first, second, (before + F.try_element_at(lookup, F.col("range").cast("long"))).alias("rank"))
 
 
-def _same_document(left: str, right: str) -> Column:
-    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.text_hash") == F.col(f"{right}.text_hash"))
-
-
 def _runs(group: list[dict]) -> list[tuple[int, int, int, int, int]]:
     """(lines, first rank, last rank, first line, end line) of every wholly ranked run of one document."""
     ranks = {r["line"]: r["ranks"] for r in group}
@@ -163,10 +159,11 @@ def _strip(text: str | None, runs: list[dict] | None) -> tuple[str | None, int,
 def dedup_lines(docs: DataFrame, min_words: int = 40, text: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, plus n_lines and n_removed."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text_hash", "runs")]
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     found = repeated_runs(docs, min_words, text)
-    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("text_hash")).alias("a")
-    joined = left.join(found.alias("b"), _same_document("a", "b"), "left").select(*[F.col(f"a.`{c}`") for c in keep], "b.runs")
+    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("__hash")).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__hash") == F.col("b.text_hash"))
+    joined = left.join(found.alias("b"), same, "left").select(*[F.col(f"a.`{c}`") for c in keep], F.col("b.runs").alias("__runs"))
     at = keep.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "n_lines int, n_removed int"])
 

@@ -231,11 +231,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxi
     return ToxicityModel(lexicon, *fit_weights(cells))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = False) -> DataFrame:
-    """Add ``score`` and ``predicted``; the text stays only if asked for."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add the score and the prediction under ``names``; the text stays only if asked for."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != "text")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "score double, predicted int"])
+    keep = [c for c in docs.columns if c not in names and (keep_text or c != "text")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), f"`{names[0]}` double, `{names[1]}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, memory = Tagger(model.lexicon), {}
@@ -247,6 +247,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = Fals
                     memory[profile] = model.score(profile)
                 scores.append(memory[profile])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)

@@ -216,3 +216,39 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == columns, name
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score string, runs int, text_hash int, items string, node int, `a b` string, spans int"
+
+
+def extra_docs(spark):
+    base = "Some plain words that stand here for the sake of a text with lines\nand a second line of words too"
+    rows = [(1, base, None, None, None, "s", 1, 2, "i", 3, "x", 4), (None, None, "en", "a", 0, None, None, None, None, None, None, None), (2, "", "en", "a", 0, "t", 1, 1, "i", 1, "y", 1), (2, "", "en", "a", 0, "t", 1, 1, "i", 1, "y", 1), (3, "word " * 30000, "xx", "a", 1, "u", 1, 1, "i", 1, "z", 1)]
+    return spark.createDataFrame(rows, EXTRA)
+
+
+def test_stages_take_clashing_columns_and_nulls(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = extra_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        rows = {r.doc_id: r for r in out.collect()}
+        assert rows.keys() == {1, None, 2, 3}, name
+        assert rows[1].score == "s" and rows[1]["a b"] == "x" and rows[3].text == "word " * 30000, name
+        assert stage(spark, docs.where(F.lit(False)), sf).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r.length for r in packed if r.doc_id == 3) == 30001 and len([r for r in packed if r.doc_id == 2]) == 2
+
+
+def test_operators_take_clashing_columns_and_nulls(spark, sf):
+    from loomery.llm import quality_rules, queries, secret_scans, token_counts
+
+    docs = extra_docs(spark)
+    assert secret_scans.scan_secrets(docs).count() == 5
+    judged = quality_rules.judge_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert judged.count() == 5 and judged.where("doc_id = 1").first().score == "s"
+    assert quality_rules.judge_quality(docs.where(F.lit(False)), spark.read.parquet(f"{sf}/labels.parquet")).count() == 0
+    counted = token_counts.count_tokens(docs, queries.PIECES)
+    assert counted.where("doc_id IS NULL").first().n_tokens == 0 and counted.count() == 5
+    assert token_counts.count_tokens(docs.where(F.lit(False)), queries.PIECES).count() == 0
