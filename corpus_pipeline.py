@@ -21,7 +21,8 @@ from loomery.session import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, model, keep_text=True, names=("__score", "__predicted"))
+    return scored.where("__predicted = 0").select(*docs.columns)
 
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
