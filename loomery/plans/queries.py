@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomery.functions import inference
 from loomery.functions import text as tx
 from loomery.functions import urls
-from loomery.operators import executions, extraction, graph, merging, rates, records, similarity, trends, url_predicates, url_scores
+from loomery.operators import clustering, executions, exploration, extraction, graph, merging, rates, records, similarity, trends, url_predicates, url_scores
 from loomery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +632,58 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     first = F.get(inference.hash_embedding(F.col("text")), 0)
     word = (first * float(2**31)).cast("long")
     return table(spark, sf, "benchmark").select("item_id", F.lpad(F.lower(F.hex(F.when(word < 0, word + 2**32).otherwise(word))), 8, "0").alias("head"))
+
+
+def _explored(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("url")
+    links = F.size(tx.hrefs(F.col("html")))
+    return table(spark, sf, "pages").select("url", F.size(urls.segments(u)).alias("depth"), urls.parent_path(u).alias("parent"), (links > 3).alias("success"), links.alias("n_links"), (F.col("page_id") % 7).cast("double").alias("seconds"), (F.col("page_id") % 10 / 10).alias("score"))
+
+
+_EXPLORED = f"""e AS (SELECT url, len({SEGS}) AS depth, len(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"''>]*)["'']')) AS n_links, (page_id % 7)::DOUBLE AS seconds, page_id % 10 / 10.0 AS score, {HOST} AS host FROM pages)"""
+
+
+@query(f"WITH {_EXPLORED} SELECT count(*) AS pages, count(*) FILTER (n_links > 3) AS successful, round(avg((n_links > 3)::INT), 4) AS success_rate, sum(n_links)::BIGINT AS links, round(avg(seconds), 4) AS avg_seconds, count(DISTINCT host) AS hosts, max(depth)::INT AS max_depth FROM e")
+def crawl_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    s = exploration.crawl_statistics(_explored(spark, sf))
+    return s.select("pages", "successful", r4(F.col("success_rate")).alias("success_rate"), "links", r4(F.col("avg_seconds")).alias("avg_seconds"), "hosts", "max_depth")
+
+
+@query(f"WITH {_EXPLORED} SELECT depth::INT AS depth, count(*) AS n, min(url) AS first_url FROM e GROUP BY 1")
+def site_map(spark: SparkSession, sf: str) -> DataFrame:
+    return exploration.site_map(_explored(spark, sf)).select("depth", "n", F.get("pages", 0)["url"].alias("first_url"))
+
+
+@query(f"WITH {_EXPLORED}, c AS (SELECT depth, count(*) AS n FROM e GROUP BY 1) SELECT depth::INT AS depth, n, round(n * 1.0 / sum(n) OVER (), 4) AS share, round(sum(n) OVER (ORDER BY depth) * 1.0 / sum(n) OVER (), 4) AS reached FROM c")
+def depth_report(spark: SparkSession, sf: str) -> DataFrame:
+    return exploration.depth_report(_explored(spark, sf)).select("depth", "n", r4(F.col("share")).alias("share"), r4(F.col("reached")).alias("reached"))
+
+
+@query(f"WITH {_EXPLORED} SELECT round(avg((score > 0.7)::INT), 4) AS efficiency, count(*) AS n FROM e WHERE n_links > 3")
+def discovery_efficiency(spark: SparkSession, sf: str) -> DataFrame:
+    return exploration.discovery_efficiency(_explored(spark, sf)).select(r4(F.col("efficiency")).alias("efficiency"), "n")
+
+
+@query("SELECT bucket, count(*) AS n, count(*) FILTER (score >= 0.7) AS passing FROM (SELECT score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS bucket FROM (SELECT CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id % 10 / 10.0 END AS score FROM pages)) GROUP BY 1")
+def score_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    p = pages(spark, sf).select(F.col("page_id").alias("url"))
+    scores = p.where("url % 3 <> 0").withColumn("score", F.col("url") % 10 / 10)
+    return exploration.enrich_scores(p, scores).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("passes").alias("passing"))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND 1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name), 1) >= 0.8")
+def near_strings(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", "p_name", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("g"))
+    return clustering.near_strings(p, "p_partkey", "g", "p_name").select("a", "b")
+
+
+@query("SELECT s_suppkey, round((CASE WHEN s_acctbal = 0 AND n = 0 THEN 1 ELSE 1 - abs(s_acctbal - n) / greatest(abs(s_acctbal), abs(n)) END + (s_nationkey = 3)::INT) / 2.0, 4) AS similarity FROM (SELECT *, 1000.0::DOUBLE AS n FROM supplier)")
+def feature_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    s = clustering.feature_similarity([(F.col("s_acctbal"), F.lit(1000.0)), (F.col("s_nationkey"), F.lit(3))], ["number", "equal"])
+    return table(spark, sf, "supplier").select("s_suppkey", r4(s).alias("similarity"))
+
+
+@query()
+def usage_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("mean"), F.avg((F.col("event_type") == "error").cast("int")).alias("errors"))
+    return clustering.k_means(users, ["n", "mean", "errors"]).groupBy("cluster").agg(F.count("*").alias("size"), r4(F.avg("mean")).alias("mean"))
