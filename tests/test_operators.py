@@ -129,3 +129,60 @@ def test_page_records(spark):
 def test_read_needs_schema(spark, tmp_path):
     with pytest.raises(ValueError, match="schema"):
         tables.read(spark, str(tmp_path), "csv")
+
+
+def test_depth_first_order(spark):
+    from loomery.operators import exploration
+
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("b", "e", 1), ("c", "f", 0)], "src string, dst string, pos int")
+    tree = graph.breadth_first(edges, spark.createDataFrame([("a",)], "node string"), 5)
+    order = exploration.depth_first_order(edges, tree).orderBy("at").collect()
+    assert [r.node for r in order] == ["a", "b", "d", "e", "c", "f"] and [r["at"] for r in order] == list(range(6))
+
+
+def test_eviction(spark):
+    from loomery.operators import exploration
+
+    rows = [("old", "2024-01-01 00:00:00", 1, 0.9, 0.9), ("bad", "2024-03-01 00:00:00", 20, 0.1, 0.1), ("new", "2024-03-01 00:00:00", 2, 0.1, 0.1), ("good", "2024-03-02 00:00:00", 50, 0.9, 0.9)]
+    df = spark.createDataFrame(rows, "pattern string, last_used string, n int, rate double, confidence double").withColumn("last_used", F.col("last_used").cast("timestamp"))
+    now = F.lit("2024-03-05 00:00:00").cast("timestamp")
+    assert [r.pattern for r in exploration.evict(df, now, 30, 5).collect()] == ["good", "new"]
+
+
+def test_structured_data(spark):
+    from loomery.operators import extraction
+
+    html = """<script type="application/ld+json">{"@type": "Product", "name": "x"}</script><meta property="og:title" content="T">
+    <div itemscope><span itemprop="price" content="9">nine</span><a itemprop="url" href="/u">l</a><b itemprop="name"> N </b></div>
+    <table><tr><th>a</th><th>b</th></tr><tr><td>$5</td><td>yes</td></tr></table><form><input name=a><input type=password></form>"""
+    df = spark.createDataFrame([(1, html)], "k int, html string")
+    assert [r.type for r in extraction.json_ld(df, "k").collect()] == ["Product"]
+    assert [(r.property, r.content) for r in extraction.open_graph(df, "k").collect()] == [("title", "T")]
+    assert {r.property: r.value for r in extraction.microdata(df, "k").collect()} == {"price": "9", "url": "/u", "name": "N"}
+    t = extraction.tables(df, "k").first()
+    assert (t.rows, t.cells, t.has_header) == (2, 4, True) and t.confidence == pytest.approx(0.7)
+    assert [r.type for r in extraction.table_cells(df, "k").orderBy("row", "cell").collect()] == ["text", "text", "price", "boolean"]
+    assert extraction.forms(df, "k").first().kind == "login"
+
+
+def test_inference(spark):
+    from loomery.functions import inference
+
+    assert one(spark, inference.input_type(F.col("t"), F.lit("home_phone"), F.lit("")), t="text") == "phone"
+    assert one(spark, inference.unwrap_redirect(F.col("u")), u="/go?x=1&url=https%3A%2F%2Fa.com%2Fb") == "https://a.com/b"
+    assert one(spark, inference.count_phrase(F.col("t"), "employees"), t="has 51-200 employees now") == "51-200"
+    assert one(spark, F.get_json_object(inference.json_object(F.col("t")), "$.a"), t='so: {"a": 1} ok') == "1"
+    assert one(spark, inference.matches_schema(F.col("j"), {"a": "number", "b": "string"}, ["a"]), j='{"a": 1, "b": "x"}')
+    assert not one(spark, inference.matches_schema(F.col("j"), {"a": "number"}, ["a"]), j='{"a": "x"}')
+    assert one(spark, inference.build_url(F.lit("https://a.com/"), F.lit("/b"), F.create_map(F.lit("q"), F.col("v"))), v="1") == "https://a.com/b?q=1"
+    assert one(spark, inference.blank_to_null(F.col("v")), v=" N/A ") is None
+    vector = one(spark, inference.hash_embedding(F.col("t")), t="x")
+    assert len(vector) == 384 and all(-1 <= v <= 1 for v in vector) and any(vector[:24]) and not any(vector[24:])
+
+
+def test_k_means_separates(spark):
+    from loomery.operators import clustering
+
+    rows = [(i, float(i % 2) * 100 + i * 0.01, 1.0 * (i % 2)) for i in range(30)]
+    got = clustering.k_means(spark.createDataFrame(rows, "id int, x double, y double"), ["x", "y"], k=2).collect()
+    assert len({(r.id % 2, r.cluster) for r in got}) == 2
