@@ -25,8 +25,20 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+#: Bytes of an Arrow batch at most. A worker holds a batch several times over (Arrow, Python strings, results).
+BATCH_BYTES = 4 << 20
+#: Spark's own default for them, which counts as not set.
+SPARK_BATCH_BYTES = f"{64 << 20}b"
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, unless their path already holds it."""
+    """Ready Python workers: they can import this package from where the driver has it, and get batches bounded in bytes.
+
+    Rows alone don't bound a batch of texts; a bound that the user has set stays.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) == SPARK_BATCH_BYTES:
+        spark.conf.set(bound, f"{BATCH_BYTES}b")
     root, given = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     known = [given.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
     if root not in os.pathsep.join(known).split(os.pathsep):
