@@ -57,7 +57,7 @@ def depth_first_order(edges: DataFrame, tree: DataFrame) -> DataFrame:
     level = done = placed.where("depth = 0").select("node", "depth", F.array("pos").alias("key"))
     for depth in range(1, (tree.agg(F.max("depth")).first()[0] or 0) + 1):
         step = placed.where(F.col("depth") == depth).alias("t").join(level.alias("p"), F.col("t.parent") == F.col("p.node"))
-        level = durable(step.select("t.node", "t.depth", F.concat("p.key", F.array("t.pos")).alias("key")))
+        level = durable(step.select("t.node", F.lit(depth).alias("depth"), F.concat("p.key", F.array("t.pos")).alias("key")))
         done = done.unionByName(level)
     parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = durable(done.repartitionByRange(parts, "key", "node").withColumn("part", F.spark_partition_id()))
