@@ -9,9 +9,11 @@ coordinates then have the weighted Jaccard similarity as their probability.
 
 Texts with equal hash collapse before anything else. Bands of the signatures form
 buckets; in each round a bucket's members are compared with its few leaders only,
-never with each other, and only across classes not yet joined. Exact weighted Jaccard
-on unit hashes confirms a link. Rounds take other leaders until one adds no link,
-three at most.
+and only across classes not yet joined. Exact weighted Jaccard on unit hashes confirms
+a link. Rounds take other leaders until one adds no link, three at most; they only
+collapse the large groups. Every text of a bucket that still holds more than one class
+is then compared with all such texts of other classes that share a unit among the
+rarest of both: a prefix, length and position filter that no similar pair fails.
 
 Defined cases: null, empty and word-free texts are never near duplicates (class =
 own doc_id); texts of one to four words have a single shingle; words ignore case
@@ -170,6 +172,39 @@ def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
 
+def _listed_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        units = [np.frombuffer(u, np.int32) for u in batch.column(2).to_pylist()]
+        sizes = pa.array([len(u) for u in units], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(units, pa.list_(pa.int32()))], names=["node", "class", "n", "units"])
+
+
+def _left_pairs(now: DataFrame, units: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes, from all texts of buckets (bucket, node, class) that hold several; no similar pair is left out.
+
+    Units are ordered by their frequency, those of a single class first. With x <= y
+    units and 9 common >= 4 (x + y), the first common unit has at least the common
+    ones from it on in both texts, so it is among the first ninth of the shorter and
+    the first fifth of the longer. Two texts of a unit's largest class never meet.
+    """
+    mixed = now.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket")
+    left = now.join(mixed, "bucket", "left_semi").select("node", "class").distinct()
+    listed = durable(units.join(left, "node").select("node", "class", "units").mapInArrow(_listed_units, "node binary, class binary, n long, units array<int>"))
+    held = listed.select("node", "class", "n", F.explode("units").alias("unit"))
+    of_class = held.groupBy("unit", "class").agg(F.count("*").alias("texts"))
+    across = of_class.groupBy("unit").agg(F.sum("texts").alias("texts"), F.count("*").alias("classes"), F.max_by("class", F.struct("texts", "class")).alias("largest")).where("classes > 1")
+    text = Window.partitionBy("node")
+    place = F.row_number().over(text.orderBy("texts", "unit")) - 1 + F.col("n") - F.count("*").over(text)
+    early = durable(held.join(across.drop("classes"), "unit").withColumn("i", place).where("5 * i <= n").select("unit", "node", "class", "n", "i", "largest"))
+    # By x_shorter, whether x is the shorter text of the pair or as long; a text may be both.
+    sides = lambda longer, shorter: F.explode(F.when(F.expr("9 * i <= n"), F.array(F.lit(longer), F.lit(shorter))).otherwise(F.array(F.lit(longer)))).alias("x_shorter")
+    x = early.where("class <> largest").select("unit", sides(False, True), *[F.col(c).alias(f"x_{c}") for c in ("node", "class", "n", "i")])
+    y = early.select("unit", sides(True, False), *[F.col(c).alias(f"y_{c}") for c in ("node", "class", "n", "i")])
+    near = F.expr("x_class <> y_class AND x_shorter = (x_n <= y_n) AND 9 * (x_n - x_i) >= 4 * (x_n + y_n) AND 9 * (y_n - y_i) >= 4 * (x_n + y_n)")
+    met = x.join(y, ["unit", "x_shorter"]).where(near)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Pairs (a, b) whose units reach the similarity. Few pairs go to the units; otherwise units travel to the pairs."""
     x, y = units.select(F.col("node").alias("a"), F.col("units").alias("x")), units.select(F.col("node").alias("b"), F.col("units").alias("y"))
@@ -193,12 +228,14 @@ def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> D
     stand = nodes.select("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi")
     shared = keyed.alias("k").join(stand.alias("s"), F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.node") == F.col("s.node")), "left_semi")
     units = durable(shared.select("node", "text").mapInArrow(_unit_rows, "node binary, units binary").dropDuplicates(["node"]))
-    links, classes = None, None
+    classes = None
+    of_buckets = lambda: members.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
+    joined = lambda found: connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     for turn in range(most_rounds):
         if turn == 0:
             pairs = members.groupBy("node").agg(F.min("low").alias("b")).select(F.col("node").alias("a"), "b").where("a <> b")
         else:
-            now = members.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
+            now = of_buckets()
             # Several leaders a round: members far from one may be near another.
             leaders = F.array(*[F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(turn * LEADERS + j), "bucket")) for j in range(LEADERS)])
             mixed = now.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), leaders.alias("leaders")).where("least <> most")
@@ -208,8 +245,10 @@ def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> D
         found = durable(_verified(durable(pairs), units))
         if turn and found.isEmpty():
             break
-        links = found if turn == 0 else classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-        classes = connected_components(links)
+        classes = joined(found) if turn else connected_components(found)
+    found = durable(_verified(durable(_left_pairs(of_buckets(), units)), units))
+    if not found.isEmpty():
+        classes = joined(found)
     rows = signed.select("doc_id", "node", F.col("bands").isNotNull().alias("has_words"))
     members_of = rows.join(classes, "node", "left").select("doc_id", "node", F.when(F.col("has_words"), F.coalesce("component", "node")).alias("component"))
     sizes = members_of.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("keeper"))

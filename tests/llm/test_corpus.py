@@ -129,6 +129,34 @@ def test_near_hot_group(spark):
     assert [r.class_id for r in got] == [0]
 
 
+def brute_classes(docs):
+    """The least doc_id of each doc_id's class, by comparing all pairs."""
+    sets, of = {d: shingle_set(t) for d, t, _ in docs}, {d: d for d, _, _ in docs}
+    for a in sets:
+        for b in sets:
+            if a < b and of[a] != of[b] and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((of[a], of[b]))
+                of = {d: low if c == high else c for d, c in of.items()}
+    return of
+
+
+def test_near_pairs_in_mixed_buckets(spark):
+    """Texts at 0.6 to 0.79 to each other share buckets; pairs at 0.85 among them must all be found."""
+    rng = random.Random(17)
+    base = prose(rng, 170)
+    docs = [(i, f"{base} {' '.join(f'u{i}x{k}' for k in range(rng.randrange(24, 42)))}", "en") for i in range(360)]
+    for i in range(0, 240, 6):
+        words = docs[i][1].split()
+        words[-14:] = [f"v{i}x{k}" for k in range(14 + i % 5)]
+        docs.append((len(docs), " ".join(words), "en"))
+    # A large class beside single texts that are under 0.8 to it.
+    docs += [(len(docs) + i, f"{base} {' '.join(f'z{k}' for k in range(29))} t{i}", "en") for i in range(60)]
+    want = brute_classes(docs)
+    assert sum(d != c for d, c in want.items()) == 40 + 59
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == want
+
+
 def test_near_edges(spark):
     assert near_dedup.near_classes(spark.createDataFrame([], DOC)).count() == 0
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", None), (2, None, "x"), (2, None, "x")]
