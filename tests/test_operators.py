@@ -186,3 +186,18 @@ def test_k_means_separates(spark):
     rows = [(i, float(i % 2) * 100 + i * 0.01, 1.0 * (i % 2)) for i in range(30)]
     got = clustering.k_means(spark.createDataFrame(rows, "id int, x double, y double"), ["x", "y"], k=2).collect()
     assert len({(r.id % 2, r.cluster) for r in got}) == 2
+
+
+def test_nearest_takes_many_queries_or_none(spark):
+    from loomery.operators import similarity
+
+    vectors = [(i, [float(i % 7 + 1), float(i % 5), float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(4)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    got = similarity.nearest(frame, frame.where("vec_id % 10 = 0"), 4).collect()
+    want = {(q, i) for q in range(0, 60, 10) for i, _ in sorted(vectors[:60], key=lambda v: (-cosine(v[1], vectors[q][1]), v[0]))[:4]}
+    assert {(r.query, r.vec_id) for r in got} == want
+    assert similarity.nearest(frame.limit(0), frame.limit(0), 4).count() == 0
