@@ -382,14 +382,14 @@ def text_relevant_lines(spark: SparkSession, sf: str) -> DataFrame:
        SELECT vec_id, round(sim, 4) AS similarity FROM s ORDER BY sim DESC, vec_id LIMIT 10""")
 def vector_nearest(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    return similarity.nearest(v, v.where("vec_id = 0"), 10).select("vec_id", r4(F.col("similarity")).alias("similarity"))
+    return similarity.nearest(v, v.where("vec_id = 0"), 10).orderBy(F.desc("similarity"), "vec_id").select("vec_id", r4(F.col("similarity")).alias("similarity"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], q.e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[])) AS sim FROM embeddings, q),
        t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS r FROM s) SELECT vec_id, label, round(sim, 4) AS similarity FROM t WHERE r <= 5 ORDER BY sim DESC, vec_id LIMIT 5""")
 def vector_nearest_in_groups(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    return similarity.nearest(v, v.where("vec_id = 1"), 5, group="label").select("vec_id", "label", r4(F.col("similarity")).alias("similarity"))
+    return similarity.nearest(v, v.where("vec_id = 1"), 5, group="label").orderBy(F.desc("similarity"), "vec_id").select("vec_id", "label", r4(F.col("similarity")).alias("similarity"))
 
 
 _SEARCH_SQL = """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id, label, list_dot_product(embedding::DOUBLE[], q.e::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q.e::DOUBLE[], q.e::DOUBLE[])) AS sim FROM embeddings, q)"""
