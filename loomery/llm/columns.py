@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +15,19 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     expressions; inside a lambda such a copy would be computed for every element.
     """
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def named(column: str, *names: str) -> bool:
+    """Whether ``column`` is one of ``names`` to Spark, which ignores the case of letters."""
+    return column.lower() in {n.lower() for n in names}
+
+
+def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that clash with none of ``columns``, whatever the case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

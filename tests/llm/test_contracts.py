@@ -228,25 +228,13 @@ def test_token_counts_equal_unigram_model(docs):
     assert counter.count("") == 0
 
 
-def test_toxicity_grammar():
-    tagger = toxicity.Tagger(toxicity.seed_lexicon())
-    named = lambda t: {p for p, n in zip(toxicity.PATTERNS, toxicity.text_profile(tagger, t), strict=True) if n}
-    assert named("You are an idiot.") == {"insult+target"}
-    assert named("An idiot walked in.") == {"insult"}
-    assert named("They are not stupid, friend") == {"insult+negated"}
-    assert named("He said: what an idiot") == {"insult"}
-    assert named("She said what an idiot") == {"insult+reported"}
-    assert named("I will kill you") == {"threat+target"}
-    assert named("") == named(None) == set()
-
-
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     scored = queries.op1_toxicity(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     hits = [r for r in rows if r.toxic == 1]
-    assert sum(r.predicted for r in hits) >= 0.6 * len(hits)
+    assert sum(r.predicted for r in hits) >= 0.64 * len(hits)
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
 
