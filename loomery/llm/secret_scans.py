@@ -1,22 +1,33 @@
 """Secret scans: fixed credential patterns plus a randomness test battery, in SQL functions only.
 
 Base patterns give the spans of three kinds (assign, access, hex). Beyond them,
-long tokens whose encoding can be inferred (hexadecimal, base 32, base 64) face a
-battery: a chi-squared test of alphabet uniformity, a runs test on character
-classes and a serial-correlation test. Each statistic is compared with what
-ordinary text of that length gives, so its p-value is the chance that written
-words look that random; a strong serial correlation clears a token. Benjamini and
-Hochberg's procedure, run inside each length and encoding stratum, keeps the
-false-discovery rate among added spans under ``fdr``; p-values are counted in
-fixed logarithmic bins, so one small table decides however large the corpus is.
+tokens of 20 characters or more face a battery under the null of their inferred
+encoding (hexadecimal, base 32, base 36, base 64, letters of one case): chi-squared
+uniformity of the alphabet, two runs tests (character classes; vowels against
+consonants) and lag-one serial correlation. Each gives a standard score whose high
+values speak against randomness. They depend on each other, so only their sum is
+judged, against two simulated references of the token's encoding and length class:
+uniformly random tokens, which it must not be rejected from, and ordinary tokens
+(joined words, CamelCase, paths, names with numbers and dates), whose lower tail gives
+the chance that written words look that random. Benjamini and Hochberg's procedure on
+these chances, within each length and encoding stratum, keeps the false-discovery rate
+among added spans under ``fdr``. Sums are counted in fixed bins, so one small table
+decides however large the corpus is; the references are simulated on the driver from a
+fixed seed for the strata that occur.
 
 Defined cases: null and empty texts have no spans; every text is read whole;
-repeated rows give repeated results; an empty table gives an empty result; columns
-besides doc_id and text are not used. Offsets are code points, ends exclusive.
+repeated rows give repeated results; tokens of digits alone, UUIDs and tokens of high
+serial correlation are ordinary; an empty table gives an empty result; columns besides doc_id and text are not used.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
+import random
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +39,34 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/=_-]{20,}"
-_BINS, _BIN_WIDTH = 400, 0.1
-_LENGTH_EDGES = (28, 40, 64)
+#: Sums are counted in bins of this width between these bounds.
+BIN_WIDTH, LOWEST, HIGHEST = 0.1, -20.0, 100.0
+#: Least length of each length class; the references are simulated at it, where words and random tokens differ least.
+LENGTHS = (20, 22, 24, 28, 32, 40, 48, 64, 96, 160)
+#: Serial correlation alone rejects a token as random beyond this score (1 of 1,000 random tokens): alphabets and counters are as even as random text.
+SERIAL_LIMIT = 3.29
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_UPPER = _LOWER.upper()
+#: Encodings in the order in which they are tried: pattern, alphabet, chance of a class change and of a change between vowel and consonant.
+ENCODINGS = {
+    "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", _DIGITS + "ABCDEF", 0.46875, 4 / 9),
+    "lower": ("^[a-z]+$", _LOWER, 0.0, 210 / 676),
+    "upper": ("^[A-Z]+$", _UPPER, 0.0, 210 / 676),
+    "base32": ("^[A-Z2-7]+=*$", _UPPER + "234567", 0.3046875, 210 / 676),
+    "base36": ("^[a-z0-9]+$", _LOWER + _DIGITS, 0.401234568, 210 / 676),
+    "base64": ("", _UPPER + _LOWER + _DIGITS + "+/", 0.64453125, 210 / 676),
+}
+#: Ordinary words of names, for the reference of written tokens.
+WORDS = (
+    "the and for with from this that user account settings controller test service manager handler request response error default value index table column row data file path name list string number "
+    "create update delete insert select remove change load save open close start stop begin end first last next previous parent child node tree graph edge point line image video audio text page link "
+    "home about contact search result report summary detail config option server client socket port host local remote network security access permission group member order item product price customer "
+    "invoice payment history version release build debug info warning critical internal external public private static final abstract interface module package library framework application window "
+    "button label menu dialog style color width height size position international transformation straightforward environment development"
+).split()
+_HEX_WORDS = "dead beef face cafe feed fade decade facade added bad deed babe cede ace bed dad ebb fee fab abba".split()
+_SIMULATED = 4000
 
 
 def _spans(text: Column, pattern: str, least: int, group: int = 0) -> Column:
@@ -60,55 +97,126 @@ def _shaped(spans: Column, number: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(number).alias("kind_no"), x["end"].alias("end"), F.lit(KINDS[number]).alias("kind")))
 
 
-def _normal_cdf(z: Column) -> Column:
-    """Zelen and Severo's approximation, with an asymptotic form far out in the tail."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z < 0, tail).otherwise(1 - tail)
-
-
 def _battery(s: Column) -> Column:
-    """Test one token: its stratum and the p-value under "ordinary text", or null stratum if cleared."""
+    """struct(stratum, bin) of one token's summed scores; the stratum is null for tokens without an encoding to test."""
     n = F.length(s).cast("double")
-    encoding = F.when(s.rlike("^[0-9a-fA-F]+$"), "hex").when(s.rlike("^[A-Z2-7=]+$"), "base32").otherwise("base64")
-    size = F.when(encoding == "hex", 16.0).when(encoding == "base32", 32.0).otherwise(64.0)
-    chars = F.split(s, "(?!^)")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2)))
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    # Uniformity: text repeats its frequent letters; 0.065 is the chance that two letters of text agree.
-    chi = size / n * squares - n
-    text_chi = (size - 1) + (n - 1) * (size * 0.065 - 1)
-    z_chi = (chi - text_chi) / F.sqrt(2 * (size - 1) + 4 * (n - 1) * F.abs(size * 0.065 - 1))
-    # Runs of one character class: text changes class at word borders only, and separators are no class.
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[=_-]+", ""), "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
-    runs = F.length(classes).cast("double")
-    text_runs = 1 + (n - 1) * 0.12
-    z_runs = (text_runs - runs) / F.sqrt((n - 1) * 0.12 * 0.88 + 0.25)
-    # Serial correlation of neighbouring character codes: a long drift or alternation is no random key.
+
+    def by_encoding(place: int) -> Column:
+        out = F.lit(float(len(ENCODINGS["base64"][1]) if place == 1 else ENCODINGS["base64"][place]))
+        for name in reversed(list(ENCODINGS)[:-1]):
+            value = ENCODINGS[name][place]
+            out = F.when(s.rlike(ENCODINGS[name][0]), float(len(value) if place == 1 else value)).otherwise(out)
+        return out
+
+    name = F.lit("base64")
+    for other in reversed(list(ENCODINGS)[:-1]):
+        name = F.when(s.rlike(ENCODINGS[other][0]), other).otherwise(name)
+    size, change, voiced = by_encoding(1), by_encoding(2), by_encoding(3)
+    chars = F.array_remove(F.split(s, ""), "")
+    squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2))), F.lit(0.0), lambda a, x: a + x)
+    chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+    # Runs of one character class: written names change class at word borders only.
+    classes = F.translate(s, _UPPER + _LOWER + _DIGITS + "+/=_-", "A" * 26 + "a" * 26 + "0" * 10 + "." * 5)
+    runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1
+    class_score = F.when(change > 0, ((n - 1) * change - runs) / F.sqrt((n - 1) * change * (1 - change))).otherwise(0.0)
+    # Vowels and consonants alternate in words.
+    sounds = F.translate(s, "".join(c + c.upper() for c in _LOWER) + _DIGITS + "+/=_-", "".join(("V" if c in "aeiou" else "C") * 2 for c in _LOWER) + "." * 15)
+    parts = F.length(F.regexp_replace(F.regexp_replace(sounds, "[VC]+", "x"), r"\.", ""))
+    collapsed = F.regexp_replace(F.regexp_replace(F.regexp_replace(sounds, r"\.+", "."), "V+", "V"), "C+", "C")
+    turns = F.length(F.replace(collapsed, F.lit("."), F.lit(""))) - parts
+    pairs_of_letters = F.length(F.replace(sounds, F.lit("."), F.lit(""))) - parts
+    sound_score = (turns - pairs_of_letters * voiced) / F.sqrt(pairs_of_letters * voiced * (1 - voiced) + 0.25)
     codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: (x - mean) * (y - mean))
-    serial = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.greatest(spread, F.lit(1e-9)) * F.sqrt(n)
-    p = F.when(F.abs(serial) > 4, F.lit(1.0)).otherwise(_normal_cdf((z_chi + z_runs) / F.sqrt(F.lit(2.0))))
-    width = sum(((n >= e).cast("int") for e in _LENGTH_EDGES), F.lit(0))
-    bin_ = F.least(F.lit(_BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) / _BIN_WIDTH)).cast("int")
-    return F.struct(F.concat(encoding, F.lit("/"), width.cast("string")).alias("stratum"), bin_.alias("bin"))
+    added = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    mean = added(codes) / n
+    spread = added(F.transform(codes, lambda c: c * c)) - n * mean * mean
+    products = added(F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: x * y))
+    ends = F.get(codes, 0) + F.get(codes, F.size(codes) - 1)
+    together = products - mean * (2 * n * mean - ends) + (n - 1) * mean * mean
+    serial = F.when(spread > 1e-6, F.abs(together / spread)).otherwise(0.0) * F.sqrt(n)
+    total = F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), chi + class_score + sound_score + serial))
+    least = F.lit(LENGTHS[0])
+    for edge in LENGTHS[1:]:
+        least = F.when(n >= edge, edge).otherwise(least)
+    ordinary = s.rlike("^[0-9]+$") | s.rlike(UUID) | (serial > SERIAL_LIMIT)
+    return F.struct(F.when(~ordinary, F.concat(name, F.lit("/"), least.cast("string"))).alias("stratum"), F.floor(total / BIN_WIDTH).cast("int").alias("bin"))
+
+
+def scores(tokens: np.ndarray, encoding: str) -> np.ndarray:
+    """The battery's sums of equally long tokens, given as rows of character codes."""
+    _, alphabet, change, voiced = ENCODINGS[encoding]
+    size, (count, n) = len(alphabet), tokens.shape
+    kinds, sounds = np.full(128, 3), np.full(128, 2)
+    for kind, letters in enumerate((_UPPER, _LOWER, _DIGITS)):
+        kinds[[ord(c) for c in letters]] = kind
+    for c in _LOWER + _UPPER:
+        sounds[ord(c)] = int(c.lower() in "aeiou")
+    counted = np.zeros((count, 128))
+    np.add.at(counted, (np.arange(count)[:, None], tokens), 1)
+    chi = (size / n * (counted**2).sum(axis=1) - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    runs = (np.diff(kinds[tokens], axis=1) != 0).sum(axis=1)
+    class_score = ((n - 1) * change - runs) / math.sqrt((n - 1) * change * (1 - change)) if change else 0.0
+    sound = sounds[tokens]
+    letters = (sound[:, 1:] < 2) & (sound[:, :-1] < 2)
+    pairs, turns = letters.sum(axis=1), (letters & (sound[:, 1:] != sound[:, :-1])).sum(axis=1)
+    sound_score = (turns - pairs * voiced) / np.sqrt(pairs * voiced * (1 - voiced) + 0.25)
+    centred = tokens - tokens.mean(axis=1, keepdims=True)
+    serial = np.abs((centred[:, 1:] * centred[:, :-1]).sum(axis=1) / np.maximum((centred**2).sum(axis=1), 1e-9)) * math.sqrt(n)
+    return np.clip(chi + class_score + sound_score + serial, LOWEST, HIGHEST)
+
+
+def ordinary_token(rng: random.Random, encoding: str, n: int) -> str:
+    """A token of ``n`` characters as people write them, in the encoding's alphabet."""
+    out, style = "", rng.randrange(4)
+    mark = rng.choice("/-_")
+    while len(out) < n:
+        word = rng.choice(WORDS)
+        number = str(rng.choice((rng.randrange(10), rng.randrange(100), 2000 + rng.randrange(30), rng.randrange(10**6))))
+        if encoding == "hex":
+            out += rng.choice(_HEX_WORDS).upper() if rng.random() < 0.5 else number.zfill(rng.choice((1, 2, 4, 8)))
+        elif encoding in ("lower", "upper"):
+            out += word if encoding == "lower" else word.upper()
+        elif encoding in ("base32", "base36"):
+            digits = "".join(c for c in number if encoding == "base36" or c in "234567")
+            out += (word.upper() if encoding == "base32" else word) + (digits if rng.random() < 0.3 else "")
+        elif style < 2:
+            out += (word.capitalize() if out or style else word) + (number if rng.random() < 0.15 else "")
+        else:
+            out += (mark if out else "") + (number if rng.random() < 0.25 else word.capitalize() if style == 2 and rng.random() < 0.3 else word)
+    return out[:n]
+
+
+@cache
+def reference(stratum: str) -> tuple[float, float, float, tuple[float, ...]]:
+    """Simulated nulls of a stratum: the sum that 1 of 200 random tokens exceeds, then the ordinary tokens' lower tail (bound, mean excess) and their sorted sums."""
+    encoding, n = stratum.split("/")[0], int(stratum.split("/")[1])
+    rng = random.Random(f"ordinary {stratum}")
+    draw = np.random.default_rng(n * 100 + list(ENCODINGS).index(encoding))
+    alphabet = np.array([ord(c) for c in ENCODINGS[encoding][1]])
+    chance = scores(alphabet[draw.integers(0, len(alphabet), (_SIMULATED, n))], encoding)
+    written = np.sort(scores(np.array([[ord(c) for c in ordinary_token(rng, encoding, n)] for _ in range(_SIMULATED)]), encoding))
+    bound = float(written[_SIMULATED // 50])
+    excess = float(np.mean(bound - written[: _SIMULATED // 50]))
+    return float(np.quantile(chance, 0.995)), bound, max(excess, 0.05), tuple(written.tolist())
+
+
+def ordinary_chance(stratum: str, total: float) -> float:
+    """Chance that an ordinary token of the stratum's least length scores ``total`` or less; below the 2 % point by an exponential tail, which lies above a normal one."""
+    _, bound, excess, written = reference(stratum)
+    if total < bound:
+        return 0.02 * math.exp((total - bound) / excess)
+    return float(np.searchsorted(written, total, "right") + 1) / (_SIMULATED + 1)
 
 
 def discovery_bins(counts: list[tuple[str, int, int]], fdr: float) -> dict[str, int]:
-    """Least significant bin admitted in each stratum by Benjamini and Hochberg; a bin counts as its largest p-value."""
-    import math
-
+    """Highest bin admitted in each stratum by Benjamini and Hochberg, never beyond what random tokens reach; a bin counts as its upper edge."""
     chosen = {}
-    for stratum in {c[0] for c in counts}:
+    for stratum in sorted({c[0] for c in counts if c[0]}):
         own = {b: k for s, b, k in counts if s == stratum}
-        tests, rank = sum(own.values()), 0
-        for b in sorted(own, reverse=True):
+        tests, rank, most = sum(own.values()), 0, reference(stratum)[0]
+        for b in sorted(own):
             rank += own[b]
-            if math.exp(-b * _BIN_WIDTH) <= fdr * rank / tests:
+            if (b + 1) * BIN_WIDTH <= most and ordinary_chance(stratum, (b + 1) * BIN_WIDTH) <= fdr * rank / tests:
                 chosen[stratum] = b
     return chosen
 
@@ -130,11 +238,12 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.01, text: str = "text") -> Data
     rows = rows.select("doc_id", "base", free.alias("free"))
     tested = F.transform(F.col("free"), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _battery(t["s"]).alias("test")))
     rows = durable(rows.select("doc_id", "base", tested.alias("tested")))
+    # At most 60 strata of 1,200 bins reach the driver.
     counts = rows.select(F.explode("tested.test").alias("t")).groupBy("t.stratum", "t.bin").count().collect()
     admitted = discovery_bins([tuple(c) for c in counts], fdr)
     if admitted:
-        least = F.create_map(*[y for s, b in sorted(admitted.items()) for y in (F.lit(s), F.lit(b))])
-        found = F.filter(F.col("tested"), lambda t: t["test"]["bin"] >= F.try_element_at(least, t["test"]["stratum"]))
+        most = F.create_map(*[y for s, b in sorted(admitted.items()) for y in (F.lit(s), F.lit(b))])
+        found = F.filter(F.col("tested"), lambda t: F.coalesce(t["test"]["bin"] <= F.try_element_at(most, t["test"]["stratum"]), F.lit(False)))
         return rows.select("doc_id", F.sort_array(F.concat("base", _shaped(found, 3))).alias("spans"))
     return rows.select("doc_id", F.sort_array("base").alias("spans"))
 
