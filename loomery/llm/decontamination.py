@@ -1,24 +1,29 @@
 """Benchmark decontamination by SimHash of item-sized windows, in SQL functions only.
 
 A text's words are lower-case runs of letters and digits; its features are hashes
-of five-word shingles. For each benchmark item, windows of the item's size are laid
-where text and item share one of the item's rarest shingles. So many of these are
-kept as seeds that a window of similarity ``similarity`` must hold at least one
-(prefix filtering), and windows are also shifted by as many words as insertions
-could move them, so laying windows loses nothing. Windows and items get 64-bit
-SimHash fingerprints, weighted by how often a shingle occurs; ``radius + 1`` blocks
-of bits, joined block by block, find every fingerprint pair within ``radius``.
-Those candidates are verified by the exact weighted Jaccard similarity.
-
-Seeds are broadcast only after their number is checked; beyond the limit the same
-join shuffles. Defined cases: null and empty texts or items match nothing; an item
-of fewer than five words is matched as one whole shingle; whole texts are read;
-rows with one doc_id are one document; an empty documents or benchmark table gives
-no leaks; other columns pass through.
+of five-word shingles. Windows have the size of a benchmark item and are laid where a
+text holds one of the item's shingles that are rarest in the documents: so many of
+these are seeds that a window of similarity ``similarity`` must hold at least one
+(prefix filtering), and windows are also shifted by as many words as insertions could
+move them, so laying windows loses nothing. Where a window was laid for one item, it
+is searched among all of its size: each different window gets a 64-bit SimHash
+fingerprint, weighted by how often a shingle occurs, and ``radius + 1`` blocks of bits,
+joined on size, block number and bits, find every item's fingerprint within
+``radius``. Those candidates are verified by the exact weighted Jaccard similarity.
+
+Positions of benchmark shingles are found in one pass over the texts and carry no
+array; equal windows of many documents are searched and verified once. What is
+broadcast is counted first; beyond the limit the same joins shuffle. Defined cases:
+null and empty texts or items match nothing; an item of fewer than five words is
+matched as one whole shingle; whole texts are read; rows with one doc_id are one
+document, an item that repeats is one item; an empty documents or benchmark table
+gives no leaks; other columns pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,7 +32,7 @@ from loomery.llm.columns import bind
 from loomery.session import durable
 
 WORDS, SIMILARITY, RADIUS, BITS = 5, 0.8, 20, 64
-#: Seeds that may be broadcast: at about 50 bytes each, 50 MB.
+#: Rows of shingles, seeds or windows that may be broadcast: at about 50 bytes each, 50 MB.
 MOST_BROADCAST = 1_000_000
 
 
@@ -41,8 +46,10 @@ def shingles(words: Column, size: Column | int) -> Column:
     return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _text_shingles(text: Column, size: int) -> Column:
-    return bind(words_of(text), lambda w: shingles(w, size))
+def _positions(text: Column, sizes: list[int]) -> Column:
+    """array<struct<k,pos,hash>> of the shingles of all ``sizes``; the words are split once."""
+    at = lambda w, k: F.transform(shingles(w, k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("hash")))
+    return bind(words_of(text), lambda w: F.concat(*[at(w, k) for k in sizes]))
 
 
 def simhash(units: Column) -> Column:
@@ -76,56 +83,75 @@ def weighted_jaccard(x: Column, y: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, k, units, fingerprint); items without words drop out."""
+    """(item_id, k, m, units, fingerprint); items without words drop out."""
     words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates()
-    sized = words.select("item_id", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(WORDS)).alias("k"))
-    items = sized.select("item_id", "size", "k", shingles(F.col("w"), F.col("k")).alias("units"))
-    return items.withColumn("fingerprint", simhash(F.col("units")))
-
-
-def seeds_of(items: DataFrame, similarity: float) -> DataFrame:
-    """(hash, item_id, at, size, k, m): each item's rarest shingles, enough that a similar window holds one."""
-    each = items.select("item_id", "size", "k", F.size("units").alias("m"), F.posexplode("units").alias("at", "hash"))
-    known = each.groupBy("hash").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("item_id", "size", "m").orderBy("df", "hash", "at")
-    chosen = each.join(known, "hash").withColumn("n", F.row_number().over(order))
-    return chosen.where(F.col("n") <= F.col("m") - F.ceil(F.col("m") * similarity) + 1).select("hash", "item_id", "at", "size", "k", "m")
+    sized = words.select("item_id", "w", F.least(F.size("w"), F.lit(WORDS)).alias("k"))
+    items = sized.select("item_id", "k", shingles(F.col("w"), F.col("k")).alias("units"))
+    return items.select("item_id", "k", F.size("units").alias("m"), "units", simhash(F.col("units")).alias("fingerprint"))
+
+
+def seeds_of(items: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(k, hash, at, m): each item's shingles that are rarest in the documents, enough that a similar window holds one; without item ids."""
+    each = items.select("item_id", "units", "k", "m", F.posexplode("units").alias("at", "hash"))
+    known = held.groupBy("k", "hash").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("item_id", "units").orderBy(F.coalesce("df", F.lit(0)), "hash", "at")
+    chosen = each.join(known, ["k", "hash"], "left").withColumn("n", F.row_number().over(order))
+    return chosen.where(F.col("n") <= F.col("m") - F.ceil(F.col("m") * similarity) + 1).select("k", "hash", "at", "m").distinct()
+
+
+def lay_windows(base: DataFrame, held: DataFrame, seeds: DataFrame, similarity: float, sizes: list[int], few: bool) -> DataFrame:
+    """(doc_id, text_hash, k, m, start, units): item-sized windows around the seeds that a text holds."""
+    hits = held.join(F.broadcast(seeds) if few else seeds, ["k", "hash"])
+    # How far insertions or deletions can shift a similar window against its seed, plus one word.
+    slack = (F.floor((F.col("m") - F.ceil(F.col("m") * similarity)) / 4) + 1).cast("int")
+    start = (F.col("pos") - F.col("at")).cast("int")
+    shifts = F.sequence(F.greatest(start - slack, F.lit(0)), F.greatest(start + slack, F.lit(0)))
+    places = hits.select("doc_id", "text_hash", "k", "m", F.explode(shifts).alias("start")).distinct()
+    of_text = durable(places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("k", "m", "start")).alias("places")))
+    total = of_text.agg(F.sum(F.size("places"))).first()[0] or 0
+    key = F.col("b.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("b.text_hash") == F.col("p.text_hash"))
+    texts = base.alias("b").join((F.broadcast(of_text) if total <= MOST_BROADCAST else of_text).alias("p"), key).select("b.doc_id", "b.text_hash", "b.text", "p.places")
+
+    def windows(k: int) -> DataFrame:
+        cut = lambda h: F.transform(F.filter("places", lambda x: x["k"] == k), lambda x: F.struct(x["k"].alias("k"), x["m"].alias("m"), x["start"].alias("start"), F.slice(h, x["start"] + 1, x["m"]).alias("units")))
+        laid = texts.select("doc_id", "text_hash", F.explode(bind(words_of(F.col("text")), lambda w: bind(shingles(w, k), cut))).alias("x"))
+        return laid.select("doc_id", "text_hash", "x.*").where(F.size("units") > 0)
+
+    return reduce(DataFrame.unionByName, [windows(k) for k in sizes])
+
+
+def search_windows(contents: DataFrame, items: DataFrame, similarity: float, radius: int, few: bool) -> DataFrame:
+    """(w1, w2, item_id, similarity) for different windows (w1, w2, k, m, units): blocks find the fingerprints within ``radius``, exact similarity decides."""
+    contents = contents.withColumn("fingerprint", simhash(F.col("units")))
+    send = F.broadcast if few else lambda df: df
+    left = contents.select("w1", "w2", "k", "m", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius + 1)).alias("b"))
+    right = items.select("item_id", "k", "m", F.xxhash64("units").alias("of"), F.col("fingerprint").alias("own"), F.explode(blocks(F.col("fingerprint"), radius + 1)).alias("b"))
+    flat = lambda df: df.withColumns({"no": F.col("b.no"), "bits": F.col("b.bits")}).drop("b")
+    near = flat(left).join(send(flat(right)), ["k", "m", "no", "bits"]).where(hamming(F.col("fingerprint"), F.col("own")) <= radius).select("w1", "w2", "item_id", "of").distinct()
+    found = near.join(contents.select("w1", "w2", "units"), ["w1", "w2"]).join(send(items.select("item_id", F.xxhash64("units").alias("of"), F.col("units").alias("goal"))), ["item_id", "of"])
+    scored = found.withColumn("similarity", weighted_jaccard(F.col("units"), F.col("goal"))).where(F.col("similarity") >= similarity)
+    return scored.groupBy("w1", "w2", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, similarity): windows of documents that hold a benchmark item."""
     items = durable(benchmark_items(benchmark))
-    seeds = durable(seeds_of(items, similarity))
-    few = seeds.count() <= MOST_BROADCAST
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    found = None
-    for k in sizes:
-        own = seeds.where(F.col("k") == k)
-        rows = base.select("doc_id", "text_hash", _text_shingles(F.col("text"), k).alias("h"))
-        # The outer form keeps the optimizer from computing the shingles a second time, in a filter.
-        placed = rows.select("doc_id", "text_hash", "h", F.posexplode_outer("h").alias("pos", "hash"))
-        hits = placed.join(F.broadcast(own) if few else own, "hash")
-        # How far insertions or deletions can shift a similar window against its seed, plus one word.
-        slack = (F.floor((F.col("m") - F.ceil(F.col("m") * similarity)) / 4) + 1).cast("int")
-        start = (F.col("pos") - F.col("at")).cast("int")
-        wide = hits.select("doc_id", "text_hash", "item_id", "m", start.alias("start"), slack.alias("slack"), F.greatest(start - slack, F.lit(0)).alias("low"), "h")
-        wide = wide.select("doc_id", "text_hash", "item_id", "m", "start", "slack", "low", F.slice("h", F.col("low") + 1, F.greatest(F.col("m") + F.col("start") + F.col("slack") - F.col("low"), F.lit(0))).alias("wide"))
-        found = wide if found is None else found.unionByName(wide)
-    if found is None:
+    if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, similarity double")
-    once = found.groupBy("doc_id", "text_hash", "item_id", "m", "start").agg(F.first("slack").alias("slack"), F.first("low").alias("low"), F.first("wide").alias("wide"))
-    shifted = once.select("doc_id", "text_hash", "item_id", "m", "low", "wide", F.explode(F.sequence(F.greatest(F.col("start") - F.col("slack"), F.lit(0)), F.greatest(F.col("start") + F.col("slack"), F.lit(0)))).alias("start"))
-    windows = shifted.select("doc_id", "text_hash", "item_id", "start", F.slice("wide", F.col("start") - F.col("low") + 1, F.col("m")).alias("units")).where(F.size("units") > 0)
-    windows = windows.dropDuplicates(["doc_id", "text_hash", "item_id", "start"])
-    windows = durable(windows.withColumn("fingerprint", simhash(F.col("units"))))
-    key = ["doc_id", "text_hash", "item_id", "start"]
-    left = windows.select(*key, "fingerprint", F.explode(blocks(F.col("fingerprint"), radius + 1)).alias("b")).select(*key, "fingerprint", "b.no", "b.bits")
-    right = items.select("item_id", F.col("fingerprint").alias("own"), F.explode(blocks(F.col("fingerprint"), radius + 1)).alias("b")).select("item_id", "own", "b.no", "b.bits")
-    near = left.join(right, ["item_id", "no", "bits"]).where(hamming(F.col("fingerprint"), F.col("own")) <= radius).select(*key).distinct()
-    same = F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("w.text_hash") == F.col("n.text_hash")) & (F.col("w.item_id") == F.col("n.item_id")) & (F.col("w.start") == F.col("n.start"))
-    checked = windows.alias("w").join(near.alias("n"), same, "left_semi").join(items.select("item_id", F.col("units").alias("own")), "item_id")
-    return checked.withColumn("similarity", weighted_jaccard(F.col("units"), F.col("own"))).where(F.col("similarity") >= similarity).select("doc_id", "item_id", "start", "similarity")
+    known = durable(items.select("k", F.explode("units").alias("hash")).distinct())
+    few = known.count() <= MOST_BROADCAST // (radius + 1)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    # The outer form keeps the optimizer from computing the shingles a second time, in a filter.
+    placed = base.select("doc_id", "text_hash", F.explode_outer(_positions(F.col("text"), sizes)).alias("x")).select("doc_id", "text_hash", "x.k", "x.pos", "x.hash")
+    held = durable(placed.join(F.broadcast(known) if few else known, ["k", "hash"]))
+    seeds = durable(seeds_of(items, held, similarity))
+    windows = lay_windows(base, held, seeds, similarity, sizes, few)
+    windows = durable(windows.withColumns({"w1": F.xxhash64("k", "m", "units"), "w2": F.xxhash64("units", F.lit(1))}))
+    contents = durable(windows.groupBy("w1", "w2", "k", "m").agg(F.first("units").alias("units")))
+    matched = durable(search_windows(contents, items, similarity, radius, few))
+    small = matched.count() <= MOST_BROADCAST
+    return windows.select("doc_id", "w1", "w2", "start").join(F.broadcast(matched) if small else matched, ["w1", "w2"]).select("doc_id", "item_id", "start", "similarity").distinct()
 
 
 def leaks_by_document(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
