@@ -9,17 +9,21 @@ others their rank among all suffixes, so ranks keep the suffix array's order and
 task holds a frequent line's group. Each suffix is only refined until its prefix
 has ``min_words`` words.
 
-Suffixes that share such a prefix form one longest-common-prefix interval. A run's
-rank pair (its first and last 2^k lines) names the interval, the earliest member
-stays, and every line that lies in a later member is deleted. Runs that end at a
-line are named likewise, so a maximal repeated run is covered to its last line.
+Suffixes that share such a prefix form one longest-common-prefix interval: they are
+neighbours in the suffix array, and their rank, the number of suffixes that sort
+before them, is where the interval begins. So a rank from the range-partitioned sort
+is the interval's name, and a run's rank pair (its first and last 2^k lines) names the
+interval of its whole length. The earliest member stays, and every line that lies in a
+later member is deleted. Runs that end at a line are named likewise, so a maximal
+repeated run is covered to its last line. Members meet their interval's earliest one
+in salted groups, so a run that many documents share is no single task's.
 
 Order is by doc_id, then a hash of the text, then line number. Defined cases: null
 and empty texts have no lines and pass unchanged; blank lines neither count nor
 break a run, and are kept; a run may repeat within one text; rows that repeat both
 doc_id and text are one document and get the same result; an empty table gives an
 empty result; other columns pass through, ``n_lines`` and ``n_removed`` are
-replaced if present.
+replaced if present, in any case of letters.
 """
 
 from __future__ import annotations
@@ -32,8 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.llm.columns import fresh, named
 from loomery.session import durable, importable
 
+#: Parts into which the members of one interval are dealt.
+SALTS = 64
 _LINES = "doc_id long, text_hash long, line int, h1 long, h2 long, forward int, back int, level int"
 
 
@@ -96,10 +103,11 @@ def suffix_ranks(pairs: DataFrame, first: str, second: str) -> DataFrame:
         at += sums[part]
     if not offsets:
         return ranged.select(first, second, F.lit(0).cast("long").alias("rank"))
-    lookup = F.create_map(*[F.lit(x).cast("long") for pair in offsets.items() for x in pair])
+    starts = pairs.sparkSession.createDataFrame(sorted(offsets.items()), "range int, start long")
     within = Window.partitionBy("range").orderBy(first, second).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(within), F.lit(0))
-    return ranged.select(first, second, (before + F.try_element_at(lookup, F.col("range").cast("long"))).alias("rank"))
+    # One row for each range: their number is a setting, not a size of the data.
+    return ranged.withColumn("before", before).join(F.broadcast(starts), "range").select(first, second, (F.col("before") + F.col("start")).alias("rank"))
 
 
 def _runs(group: list[dict]) -> list[tuple[int, int, int, int, int]]:
@@ -144,8 +152,12 @@ def repeated_runs(docs: DataFrame, min_words: int, text: str = "text") -> DataFr
     grouped = state.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "forward", "back", "ranks")).alias("group"))
     runs = durable(grouped.mapInArrow(_run_rows, "doc_id long, text_hash long, size long, head long, tail long, first long, end long"))
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("text_hash"), F.col("first"))
-    intervals = runs.groupBy("size", "head", "tail").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(intervals, ["size", "head", "tail"]).where(place > F.col("keeper"))
+    name = ["size", "head", "tail"]
+    salted = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash", "first"), F.lit(SALTS)))
+    parts = salted.groupBy(*name, "salt").agg(F.min(place).alias("keeper"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*name)
+    intervals = parts.select(*name, "salt", F.min("keeper").over(whole).alias("keeper"), F.sum("n").over(whole).alias("n")).where("n > 1")
+    later = salted.join(intervals, [*name, "salt"]).where(place > F.col("keeper"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
 
 
@@ -159,11 +171,12 @@ def _strip(text: str | None, runs: list[dict] | None) -> tuple[str | None, int,
 def dedup_lines(docs: DataFrame, min_words: int = 40, text: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text``, plus n_lines and n_removed."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if not named(c, "n_lines", "n_removed")]
+    hashed, cut = fresh(keep, "text_hash", "runs")
     found = repeated_runs(docs, min_words, text)
-    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias("__hash")).alias("a")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__hash") == F.col("b.text_hash"))
-    joined = left.join(found.alias("b"), same, "left").select(*[F.col(f"a.`{c}`") for c in keep], F.col("b.runs").alias("__runs"))
+    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias(hashed)).alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{hashed}") == F.col("b.text_hash"))
+    joined = left.join(found.alias("b"), same, "left").select(*[F.col(f"a.`{c}`") for c in keep], F.col("b.runs").alias(cut))
     at = keep.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "n_lines int, n_removed int"])
 
