@@ -46,10 +46,13 @@ def shingles(words: Column, size: Column | int) -> Column:
     return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _positions(text: Column, sizes: list[int]) -> Column:
-    """array<struct<k,pos,hash>> of the shingles of all ``sizes``; the words are split once."""
+def _positions(text: Column, sizes: list[int]) -> tuple[list[Column], Column]:
+    """Columns k, pos, hash and the generator they come from: shingles of all ``sizes``; the words are split once."""
+    if len(sizes) == 1:
+        # The outer forms keep the optimizer from computing the shingles a second time, in a filter.
+        return [F.lit(sizes[0]).alias("k"), F.col("pos"), F.col("x").alias("hash")], F.posexplode_outer(bind(words_of(text), lambda w: shingles(w, sizes[0]))).alias("pos", "x")
     at = lambda w, k: F.transform(shingles(w, k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("hash")))
-    return bind(words_of(text), lambda w: F.concat(*[at(w, k) for k in sizes]))
+    return [F.col("x.k"), F.col("x.pos"), F.col("x.hash")], F.explode_outer(bind(words_of(text), lambda w: F.concat(*[at(w, k) for k in sizes]))).alias("x")
 
 
 def simhash(units: Column) -> Column:
@@ -142,8 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     known = durable(items.select("k", F.explode("units").alias("hash")).distinct())
     few = known.count() <= MOST_BROADCAST // (radius + 1)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    # The outer form keeps the optimizer from computing the shingles a second time, in a filter.
-    placed = base.select("doc_id", "text_hash", F.explode_outer(_positions(F.col("text"), sizes)).alias("x")).select("doc_id", "text_hash", "x.k", "x.pos", "x.hash")
+    columns, placed = _positions(F.col("text"), sizes)
+    placed = base.select("doc_id", "text_hash", placed).select("doc_id", "text_hash", *columns)
     held = durable(placed.join(F.broadcast(known) if few else known, ["k", "hash"]))
     seeds = durable(seeds_of(items, held, similarity))
     windows = lay_windows(base, held, seeds, similarity, sizes, few)
