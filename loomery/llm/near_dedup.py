@@ -9,16 +9,17 @@ coordinates then have the weighted Jaccard similarity as their probability.
 
 Texts with equal hash collapse before anything else. Bands of the signatures form
 buckets; in each round a bucket's members are compared with its few leaders only,
-and only across classes not yet joined. Exact weighted Jaccard on unit hashes confirms
-a link. Rounds take other leaders until one adds no link, three at most; they only
-collapse the large groups. Every text of a bucket that still holds more than one class
+the nearest by signature, across classes not yet joined. Exact
+weighted Jaccard on 48-bit unit hashes confirms a link. Rounds take other leaders until
+one adds no link, three at most; they only collapse the large groups. Every text of a bucket that still holds more than one class
 is then compared with all such texts of other classes that share a unit among the
 rarest of both: a prefix, length and position filter that no similar pair fails.
 
 Defined cases: null, empty and word-free texts are never near duplicates (class =
 own doc_id); texts of one to four words have a single shingle; words ignore case
 and outer punctuation; long texts are read whole; repeated rows fall into one
-class; an empty table gives an empty result; other columns are ignored.
+class; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.llm.columns import fresh
 from loomery.llm.components import MOST_BROADCAST, connected_components
 from loomery.session import durable, importable
 
 BANDS, ROWS, WORDS, SIMILARITY = 20, 4, 5, 0.8
 #: Leaders of a bucket in each round after the first, which has one.
 LEADERS = 3
+#: Coordinates of 80 that must agree before a member is compared with a leader; the exact finish has no such test.
+LIKELY = 58
+#: Parts into which the pairs of one text and the texts of one class are dealt.
+SALTS = 16
 _OUTER = re.compile(r"^\W+|\W+$")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -143,24 +149,45 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(units[-1])
                 stop += 1
             owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
-            bands = band_hashes(dart_signatures(np.concatenate(units) if units else np.zeros(0, np.uint64), owner, len(units), BANDS * ROWS))
+            signature = dart_signatures(np.concatenate(units) if units else np.zeros(0, np.uint64), owner, len(units), BANDS * ROWS)
+            bands, sketches = band_hashes(signature), [x.tobytes() for x in signature.astype(np.uint8)]
             lists = [b.tolist() if len(u) else None for b, u in zip(bands, units, strict=True)]
             part = batch.slice(at, stop - at)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "node", "bands", "sketch"])
             at = stop
 
 
+def pack_units(units: np.ndarray) -> bytes:
+    """Distinct units by their low 48 bits, six bytes each in order: among a million of them two would agree by chance once in 500 texts."""
+    return np.unique(units & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_units(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return wide.view(np.int64).ravel()
+
+
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units = [np.unique(shingle_units(t).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+        units = [pack_units(shingle_units(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], names=["node", "units"])
 
 
+def _likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches x and y, one byte for each coordinate, agree in ``LIKELY`` places."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (2, 3))
+        agree = (x == y).sum(axis=1)
+        mask = pa.array(agree >= LIKELY, pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(mask) for i in (0, 1)), pa.array(agree, pa.int32()).filter(mask)], names=["a", "b", "agree"])
+
+
 def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = unpack_units(x), unpack_units(y)
             if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
                 keep.append(False)
                 continue
@@ -174,9 +201,9 @@ def _similar_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _listed_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units = [np.frombuffer(u, np.int32) for u in batch.column(2).to_pylist()]
-        sizes = pa.array([len(u) for u in units], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(units, pa.list_(pa.int32()))], names=["node", "class", "n", "units"])
+        units = [unpack_units(u) for u in batch.column(2).to_pylist()]
+        sizes = pa.array([len(u) for u in units], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(units, pa.list_(pa.int64()))], names=["text", "class", "n", "units"])
 
 
 def _left_pairs(now: DataFrame, units: DataFrame) -> DataFrame:
@@ -189,39 +216,60 @@ def _left_pairs(now: DataFrame, units: DataFrame) -> DataFrame:
     """
     mixed = now.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket")
     left = now.join(mixed, "bucket", "left_semi").select("node", "class").distinct()
-    listed = durable(units.join(left, "node").select("node", "class", "units").mapInArrow(_listed_units, "node binary, class binary, n long, units array<int>"))
-    held = listed.select("node", "class", "n", F.explode("units").alias("unit"))
-    of_class = held.groupBy("unit", "class").agg(F.count("*").alias("texts"))
+    # Short numbers instead of hashes, for every unit carries them. Two classes of one number would never meet: a chance of 2^-64 for each pair.
+    left = durable(left.select("node", F.xxhash64("class").alias("class"), F.monotonically_increasing_id().alias("text")))
+    sent = F.broadcast if left.count() <= MOST_BROADCAST else lambda df: df
+    listed = units.join(sent(left), "node").select("text", "class", "units").mapInArrow(_listed_units, "text long, class long, n int, units array<long>")
+    held = listed.select("text", "class", "n", F.explode("units").alias("unit"))
+    of_class = held.groupBy("unit", "class").agg(F.count("*").cast("int").alias("texts"))
     across = of_class.groupBy("unit").agg(F.sum("texts").alias("texts"), F.count("*").alias("classes"), F.max_by("class", F.struct("texts", "class")).alias("largest")).where("classes > 1")
-    text = Window.partitionBy("node")
+    text = Window.partitionBy("text")
     place = F.row_number().over(text.orderBy("texts", "unit")) - 1 + F.col("n") - F.count("*").over(text)
-    early = durable(held.join(across.drop("classes"), "unit").withColumn("i", place).where("5 * i <= n").select("unit", "node", "class", "n", "i", "largest"))
+    early = durable(held.join(across.drop("classes"), "unit").withColumn("i", place).where("5 * i <= n").select("unit", "text", "class", "n", "i", "largest"))
     # By x_shorter, whether x is the shorter text of the pair or as long; a text may be both.
     sides = lambda longer, shorter: F.explode(F.when(F.expr("9 * i <= n"), F.array(F.lit(longer), F.lit(shorter))).otherwise(F.array(F.lit(longer)))).alias("x_shorter")
-    x = early.where("class <> largest").select("unit", sides(False, True), *[F.col(c).alias(f"x_{c}") for c in ("node", "class", "n", "i")])
-    y = early.select("unit", sides(True, False), *[F.col(c).alias(f"y_{c}") for c in ("node", "class", "n", "i")])
+    x = early.where("class <> largest").select("unit", sides(False, True), *[F.col(c).alias(f"x_{c}") for c in ("text", "class", "n", "i")])
+    y = early.select("unit", sides(True, False), *[F.col(c).alias(f"y_{c}") for c in ("text", "class", "n", "i")])
     near = F.expr("x_class <> y_class AND x_shorter = (x_n <= y_n) AND 9 * (x_n - x_i) >= 4 * (x_n + y_n) AND 9 * (y_n - y_i) >= 4 * (x_n + y_n)")
-    met = x.join(y, ["unit", "x_shorter"]).where(near)
-    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    met = x.join(y, ["unit", "x_shorter"]).where(near).select(F.least("x_text", "y_text").alias("x"), F.greatest("x_text", "y_text").alias("y")).distinct()
+    named = lambda end, side: sent(left.select(F.col("text").alias(end), F.col("node").alias(side)))
+    return met.join(named("x", "a"), "x").join(named("y", "b"), "y").select("a", "b")
 
 
 def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose units reach the similarity. Few pairs go to the units; otherwise units travel to the pairs."""
+    """Pairs (a, b) whose units reach the similarity.
+
+    Units of a travel with each pair; those of b, which may be a leader of many
+    pairs, travel once to each of the ``SALTS`` parts that its pairs are dealt to.
+    """
     x, y = units.select(F.col("node").alias("a"), F.col("units").alias("x")), units.select(F.col("node").alias("b"), F.col("units").alias("y"))
-    if pairs.count() <= MOST_BROADCAST:
-        sides = x.join(F.broadcast(pairs), "a").join(y.join(F.broadcast(pairs), "b"), ["a", "b"])
-    else:
-        sides = pairs.join(x, "a").join(y, "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(_similar_rows, "a binary, b binary")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    few = pairs.count() <= MOST_BROADCAST
+    left = x.join(F.broadcast(dealt), "a") if few else dealt.join(x, "a")
+    parts = dealt.select("b", "salt").distinct()
+    right = y.join(F.broadcast(parts) if few else parts, "b")
+    return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(_similar_rows, "a binary, b binary")
+
+
+def _class_of_nodes(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, class_id, class_size, keeper) of texts that other rows or texts share a class with."""
+    linked = nodes.select("node", "doc_id", "copies", "keeper").join(classes, "node", "left").where("component IS NOT NULL OR copies > 1")
+    linked = durable(linked.select("node", "doc_id", "copies", "keeper", F.coalesce("component", "node").alias("component"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")))
+    parts = linked.groupBy("component", "salt").agg(F.min("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.min("keeper").alias("keeper"))
+    whole = Window.partitionBy("component")
+    totals = parts.select("component", "salt", F.min("doc_id").over(whole).alias("class_id"), F.sum("copies").over(whole).alias("class_size"), F.min("keeper").over(whole).alias("keeper"))
+    return linked.select("node", "component", "salt").join(totals, ["component", "salt"]).select("node", "class_id", "class_size", "keeper")
 
 
 def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> DataFrame:
     """One row per document: doc_id, node (hash of its text), class_id (least doc_id of its class), class_size, keeps."""
     importable(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("node"), F.col(text).cast("string").alias("text"))
-    signed = durable(keyed.mapInArrow(_signed_rows, "doc_id long, node binary, bands array<long>"))
-    nodes = durable(signed.where("bands IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id")))
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    signed = durable(keyed.mapInArrow(_signed_rows, "doc_id long, node binary, bands array<long>, sketch binary"))
+    keeper = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("node"))
+    of_text = (F.first(F.struct("bands", "sketch")).alias("signed"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(keeper).alias("keeper"))
+    nodes = durable(signed.where("bands IS NOT NULL").groupBy("node").agg(*of_text).select("node", "signed.*", "doc_id", "copies", "keeper"))
+    banded = nodes.select("node", "sketch", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
     members = durable(banded.join(buckets, "bucket"))
     # Unit hashes of the texts that share a bucket; one document stands for each text.
@@ -229,19 +277,23 @@ def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> D
     shared = keyed.alias("k").join(stand.alias("s"), F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("k.node") == F.col("s.node")), "left_semi")
     units = durable(shared.select("node", "text").mapInArrow(_unit_rows, "node binary, units binary").dropDuplicates(["node"]))
     classes = None
-    of_buckets = lambda: members.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
+    of_buckets = lambda: members.select("bucket", "node", "sketch").join(classes, "node", "left").select("bucket", "node", "sketch", F.coalesce("component", "node").alias("class"))
     joined = lambda found: connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     for turn in range(most_rounds):
         if turn == 0:
             pairs = members.groupBy("node").agg(F.min("low").alias("b")).select(F.col("node").alias("a"), "b").where("a <> b")
         else:
             now = of_buckets()
-            # Several leaders a round: members far from one may be near another.
-            leaders = F.array(*[F.min_by(F.struct("node", "class"), F.xxhash64("node", F.lit(turn * LEADERS + j), "bucket")) for j in range(LEADERS)])
+            # Several leaders a round: members far from one may be near another. Only pairs whose signatures look near are worth an exact look here.
+            leaders = F.array(*[F.min_by(F.struct("node", "class", "sketch"), F.xxhash64("node", F.lit(turn * LEADERS + j), "bucket")) for j in range(LEADERS)])
             mixed = now.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), leaders.alias("leaders")).where("least <> most")
             met = now.join(mixed.select("bucket", F.array_distinct("leaders").alias("leaders")), "bucket")
-            apart = met.select("node", "class", F.explode("leaders").alias("leader")).where(F.col("class") != F.col("leader.class"))
-            pairs = apart.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+            apart = met.select("node", "class", "sketch", F.explode("leaders").alias("leader")).where(F.col("class") != F.col("leader.class"))
+            sides = apart.select(F.col("node").alias("a"), F.col("leader.node").alias("b"), F.col("sketch").alias("x"), F.col("leader.sketch").alias("y"))
+            likely = sides.mapInArrow(_likely_rows, "a binary, b binary, agree int")
+            # A list holds at most LEADERS for each band.
+            nearest = F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), asc=False), 1, LEADERS)
+            pairs = likely.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near.b").alias("b"))
         found = durable(_verified(durable(pairs), units))
         if turn and found.isEmpty():
             break
@@ -249,20 +301,20 @@ def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> D
     found = durable(_verified(durable(_left_pairs(of_buckets(), units)), units))
     if not found.isEmpty():
         classes = joined(found)
-    rows = signed.select("doc_id", "node", F.col("bands").isNotNull().alias("has_words"))
-    members_of = rows.join(classes, "node", "left").select("doc_id", "node", F.when(F.col("has_words"), F.coalesce("component", "node")).alias("component"))
-    sizes = members_of.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("keeper"))
-    out = members_of.join(sizes, "component", "left")
-    return out.select("doc_id", "node", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (F.col("component").isNull() | ((F.col("keeper.node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")))).alias("keeps"))
+    shared = durable(_class_of_nodes(classes, nodes))
+    out = signed.select("doc_id", "node").join(shared, "node", "left")
+    keeps = F.col("keeper").isNull() | ((F.col("keeper.node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")))
+    return out.select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), keeps.alias("keeps"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each class stays, with all its columns; texts without words all stay."""
     # One key for join and row number: a single shuffle of the texts serves both.
+    key_name, nth_name = fresh(docs.columns, "near_key", "nth")
     key = lambda node: F.concat(node, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    keepers = near_classes(docs, text).where("keeps").select(key(F.col("node")).alias("__key")).dropDuplicates()
+    keepers = near_classes(docs, text).where("keeps").select(key(F.col("node")).alias(key_name)).dropDuplicates()
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    kept = docs.withColumn("__key", key(F.unhex(F.md5(body)))).join(keepers, "__key", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    once = kept.withColumn("__nth", nth).where((F.col("__nth") == 1) | ~F.coalesce(F.col(text).rlike(r"(?U)\w"), F.lit(False)))
+    kept = docs.withColumn(key_name, key(F.unhex(F.md5(body)))).join(keepers, key_name, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key_name).orderBy(key_name))
+    once = kept.withColumn(nth_name, nth).where((F.col(nth_name) == 1) | ~F.coalesce(F.col(text).rlike(r"(?U)\w"), F.lit(False)))
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
