@@ -12,7 +12,8 @@ running positions need the rows of one conversation together, and those stream.
 
 Defined cases: a null text or role is empty; a null conv_id or turn is an ordinary
 value that sorts first; equal turn numbers go by role, then text; repeated rows are
-repeated turns; an empty table gives an empty result; extra columns are ignored.
+repeated turns; an empty table gives an empty result; extra columns are ignored. A
+very long text is one turn and is encoded whole.
 """
 
 from __future__ import annotations
@@ -116,6 +117,15 @@ def format_chats(turns: DataFrame, tokenizer: str) -> DataFrame:
     )
 
 
+def splice_chats(formatted: DataFrame) -> DataFrame:
+    """(conv_id, position, id, in_loss): every conversation's ids as one sequence with its loss mask, one row for each id."""
+    turns = formatted.select("conv_id", "first_id", "loss_start", "loss_end", "n_ids", F.hex("ids").alias("hexed"))
+    each = turns.select("conv_id", "loss_start", "loss_end", "first_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_ids").cast("int") - 1), lambda i: F.struct(i.alias("i"), F.substring("hexed", i * 8 + 1, F.lit(8)).alias("h")))).alias("x"))
+    little = F.concat(*[F.substring("x.h", 7 - 2 * k, 2) for k in range(4)])
+    position = F.col("first_id") + F.col("x.i")
+    return each.select("conv_id", position.alias("position"), F.conv(little, 16, 10).cast("long").alias("id"), F.coalesce((position >= F.col("loss_start")) & (position < F.col("loss_end")), F.lit(False)).alias("in_loss"))
+
+
 def read_turn(encoding, ids: list[int]) -> tuple[str, str]:
     """Role and text read back from a turn's ids."""
     controls = {encoding.encode_single_token(c): c for c in CONTROLS}
@@ -144,19 +154,23 @@ def digest_chats(formatted: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             done = []
             rows = batch.to_pydict()
-            for conv_id, place, raw, first, lo, hi in zip(*(rows[c] for c in ("conv_id", "place", "ids", "first_id", "loss_start", "loss_end")), strict=True):
+            for conv_id, place, raw, lo, hi in zip(*(rows[c] for c in ("conv_id", "place", "ids", "loss_start", "loss_end")), strict=True):
                 if place == 1:
                     if state is not None:
                         done.append(flush(state))
                     state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 ids = np.frombuffer(raw, "<u4").tolist()
+                # Where this turn begins in the conversation's spliced ids, counted here and not taken from the prefix sums.
+                at = state[6]
                 role, text = read_turn(encoding, ids)
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
                 state[5] += len(encoding.decode_bytes(ids).decode())
                 state[6] += len(ids)
                 if lo is not None:
-                    masked = unescape(encoding.decode_bytes(ids[lo - first : hi - first]).decode())
+                    if not at <= lo <= hi <= at + len(ids):
+                        raise ValueError(f"conversation {conv_id}: masked positions {lo} to {hi} lie outside turn {place}")
+                    masked = unescape(encoding.decode_bytes(ids[lo - at : hi - at]).decode())
                     state[3] += len(masked)
                     state[4].update(masked.encode())
                     state[7] += hi - lo

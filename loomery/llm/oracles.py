@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomery.llm.chat_formatting import CONTROLS, ESCAPE
-from loomery.llm.quality_rules import RULES
+from loomery.llm.quality_rules import RULES, subsets
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
@@ -34,8 +34,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY 1
 """
 
-_GRID = ", ".join(f"({n}, {i}, {c}::DOUBLE)" for n, r in enumerate(RULES) for i, c in enumerate(r.grid, 1))
-_TESTS = sum(len(r.grid) for r in RULES)
+_SETS = ", ".join(f"({n}, {list(rules)})" for n, rules in enumerate(subsets(RULES)))
+_SIZES = [len(r.grid) for r in RULES]
+_LEVELS = max(_SIZES)
+_CUTS = ", ".join(f"({n}, {level}, {r.grid[max(0, len(r.grid) - level)]}::DOUBLE)" for n, r in enumerate(RULES) for level in range(1, _LEVELS + 1))
 _VALUES = ", ".join(f"({r.value.replace('n_', 's.n_').replace('word_chars', 's.word_chars').replace(' / ', '::DOUBLE / ')})" for r in RULES)
 
 QUALITY = f"""
@@ -47,15 +49,20 @@ l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM
 s AS (SELECT d.doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     coalesce(l.n, 0) AS n_lines, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 v AS (SELECT s.doc_id, stratum, unnest([{_VALUES}]) AS value, unnest(range({len(RULES)})) AS rule FROM s),
-grid(rule, step, cutoff) AS (VALUES {_GRID}),
-good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING max(quality) = 1),
-h AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM v JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
-tail AS (SELECT stratum, rule, step, any_value(cutoff) AS cutoff, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))) AS p FROM h, LATERAL (SELECT unnest(range(k + 1)) AS j) GROUP BY 1, 2, 3),
-ok AS (SELECT *, bool_and(p <= 0.05 / ({_TESTS} * (SELECT count(DISTINCT stratum) FROM tail))) OVER (PARTITION BY stratum, rule ORDER BY step DESC) AS pass FROM tail),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM ok WHERE pass GROUP BY 1, 2),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN cut USING (stratum, rule) WHERE value > cutoff)
+cut(rule, level, cutoff) AS (VALUES {_CUTS}),
+sets(id, rules) AS (VALUES {_SETS}),
+known AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1 HAVING max(quality) IS NOT NULL),
+fell AS (SELECT doc_id, level, list(rule) AS rules FROM v JOIN cut USING (rule) WHERE value > cutoff GROUP BY 1, 2),
+seen AS (SELECT stratum, level, rules, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS bad FROM s JOIN known USING (doc_id) JOIN fell USING (doc_id) GROUP BY 1, 2, 3),
+n AS (SELECT stratum, count(*) FILTER (quality = 1) AS n FROM s JOIN known USING (doc_id) GROUP BY 1),
+risk AS (SELECT n.stratum, n.n, sets.id, l.level, coalesce(sum(good) FILTER (list_has_any(seen.rules, sets.rules)), 0) AS k, coalesce(sum(bad) FILTER (list_has_any(seen.rules, sets.rules)), 0) AS bad
+    FROM n CROSS JOIN sets CROSS JOIN (SELECT unnest(range(1, {_LEVELS} + 1)) AS level) l LEFT JOIN seen ON seen.stratum = n.stratum AND seen.level = l.level GROUP BY 1, 2, 3, 4),
+tail AS (SELECT stratum, id, level, any_value(k) AS k, any_value(bad) AS bad, any_value(n) AS n, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))) AS p FROM risk, LATERAL (SELECT unnest(range((k + 1)::BIGINT)) AS j) GROUP BY 1, 2, 3),
+ok AS (SELECT *, bool_and(n > 0 AND p <= 0.05 / ({len(subsets(RULES))} * (SELECT count(*) FROM n))) OVER (PARTITION BY stratum, id ORDER BY level) AS pass FROM tail),
+best AS (SELECT * FROM ok WHERE pass QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, k, id, level) = 1),
+gone AS (SELECT DISTINCT v.doc_id FROM v JOIN best USING (stratum) JOIN sets ON sets.id = best.id JOIN cut ON cut.rule = v.rule AND cut.level = best.level WHERE list_contains(sets.rules, v.rule) AND value > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM s
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM gone) AS kept FROM s
 """
 
 LINE_DEDUP = """

@@ -45,6 +45,8 @@ def _piece_rows(path: str, window: int, end_id: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
                 total = len(ids) // 4
+                if np.frombuffer(ids, "<u4").max() > 0xFFFF:
+                    raise ValueError("ids above 65,535 need a wider store")
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]
                     length = len(part) // 4
@@ -182,8 +184,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, t
     slices = F.array(*[F.lit(int(-(-n // SLICE) or 1)) for n in lengths])
     pieces = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(slices, F.col("length"))))
     sizes = pieces.groupBy("length", "slice").count()
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    # Slices are summed within blocks of SLICE, then blocks within a length: no task orders all slices of a frequent length.
+    sizes = sizes.withColumn("block", F.floor(F.col("slice") / SLICE))
+    earlier = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("length", "block").agg(F.sum("count").alias("count"))
+    blocks = blocks.select("length", "block", earlier(Window.partitionBy("length").orderBy("block")).alias("first"))
+    sizes = sizes.select("length", "slice", "block", earlier(Window.partitionBy("length", "block").orderBy("slice")).alias("within")).join(blocks, ["length", "block"])
+    sizes = sizes.select("length", "slice", (F.col("first") + F.col("within")).alias("before"))
     own = Window.partitionBy("length", "slice").orderBy("doc_id", "start", "ids_crc32")
     ranked = pieces.withColumn("rank", F.row_number().over(own) - 1)
     ranked = ranked.join(sizes, ["length", "slice"]).withColumn("rank", F.col("rank") + F.col("before"))

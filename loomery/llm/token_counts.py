@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.columns import named
 from loomery.session import importable
 
 MARK = "\u2581"
@@ -99,7 +100,7 @@ def count_text(counter: PieceCounter, text: str | None) -> tuple[int, int]:
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` and ``n_words``; the text column itself is dropped. ``path`` must be readable on executors."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in (text, "n_tokens", "n_words")]
+    keep = [c for c in docs.columns if not named(c, text, "n_tokens", "n_words")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens long", "n_words long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Every rule is a regular expression over ``host + path`` plus the literal tokens
-that any matching URL must contain. Token frequencies over the pages choose each
-rule's rarest token; a URL's tokens then look up the few rules that could match,
-and only those run their expression. Everything stays in SQL functions and needs
-no shuffle beyond one small count of the rules' own tokens.
+that any matching URL must contain; a rule with alternatives is indexed by each of
+them apart. Token frequencies over the pages choose the rarest token; a URL's tokens
+then look up the few rules that could match, and only those run their expression. The
+lookup goes to one of many small tables by the token's checksum, so its cost does not
+grow with the rules. Everything stays in SQL functions and needs no shuffle beyond one
+small count of the rules' own tokens.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
 gets the default verdict; repeated rows are judged alike; an empty table gives an
@@ -15,12 +17,15 @@ the five result columns, which are then replaced.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.llm.columns import fresh
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules held in one literal index; longer lists are judged in slices of this size.
 SLICE = 2000
@@ -62,8 +67,10 @@ PATTERN_RULES = (
     pattern_rule("block", "spam farm", r"(?:^|[.-])spam-farm(?:[.-]|/|$)", ("spam", "farm")),
     pattern_rule("block", "cheap pills", r"(?:^|[.-])cheap-pills(?:[.-]|/|$)", ("cheap", "pills")),
     pattern_rule("block", "casino", r"(?:^|[./-])casino(?:[./-]|$)", ("casino",)),
-    pattern_rule("block", "adult", r"(?:^|[./-])(?:xxx|porn)(?:[./-]|$)", ()),
-    pattern_rule("block", "session page", r"/(?:login|signin)(?:/|$)", ()),
+    pattern_rule("block", "adult", r"(?:^|[./-])porn(?:[./-]|$)", ("porn",)),
+    pattern_rule("block", "adult", r"(?:^|[./-])xxx(?:[./-]|$)", ("xxx",)),
+    pattern_rule("block", "session page", r"/login(?:/|$)", ("login",)),
+    pattern_rule("block", "session page", r"/signin(?:/|$)", ("signin",)),
 )
 
 
@@ -99,9 +106,13 @@ def _best(key: Column, tokens: Column, rules: Sequence[tuple[int, UrlRule]], rar
         index.setdefault(rarest[ordinal], []).append(place) if ordinal in rarest else free.append(place)
     places = F.array(*map(F.lit, free)).cast("array<int>")
     if index:
-        pairs = [x for t, ps in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ps)))]
-        lookup = F.create_map(*pairs)
-        fetched = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(lookup, t), F.array().cast("array<int>")))
+        parts: list[list] = [[] for _ in range(2 * len(index))]
+        for t, ps in sorted(index.items()):
+            parts[zlib.crc32(t.encode()) % len(parts)] += [F.lit(t), F.array(*map(F.lit, ps))]
+        none = F.lit(None).cast("map<string,array<int>>")
+        lookup = F.array(*[F.create_map(*part) if part else none for part in parts])
+        held = lambda t: F.try_element_at(F.get(lookup, (F.crc32(t.cast("binary")) % len(parts)).cast("int")), t)
+        fetched = F.transform(tokens, lambda t: F.coalesce(held(t), F.array().cast("array<int>")))
         places = F.concat(places, F.flatten(fetched))
     regexes = F.array(*[F.lit(r.regex) for _, r in rules])
     ranks = F.array(*[F.struct(F.lit(int(r.listed)).alias("listed"), F.lit(len(r.name)).alias("size"), F.lit(o).alias("ordinal")) for o, r in rules])
@@ -121,12 +132,13 @@ def judge_urls(pages: DataFrame, site_rules: Sequence[UrlRule] = SITE_RULES, pat
     bests = [_best(key, _tokens(key), part, rarest) for part in slices]
     best = F.array_max(F.array(*bests)) if bests else F.lit(None).cast("struct<listed:int,size:int,ordinal:int>")
     names, actions = F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.action) for r in rules])
-    out = out.withColumn("__best", best)
-    at = F.col("__best.ordinal")
+    (name,) = fresh([*out.columns, "rule", "pattern", "verdict"], "best")
+    out = out.withColumn(name, best)
+    at = F.col(f"{name}.ordinal")
     return out.withColumns(
         {
-            "rule": F.when(F.col("__best.listed") == 1, F.get(names, at)),
-            "pattern": F.when(F.col("__best.listed") == 0, F.get(names, at)),
+            "rule": F.when(F.col(f"{name}.listed") == 1, F.get(names, at)),
+            "pattern": F.when(F.col(f"{name}.listed") == 0, F.get(names, at)),
             "verdict": F.coalesce(F.get(actions, at), F.lit(default)),
         }
-    ).drop("__best")
+    ).drop(name)

@@ -95,13 +95,33 @@ def test_quality_bound_is_exact():
         assert quality_rules.binomial_tail(k, n, float(p)) == pytest.approx(float(exact), rel=1e-9)
 
 
-def test_quality_limits_false_rejections():
-    rules = (quality_rules.RiskRule("r", "x", (1.0, 2.0, 3.0)),)
-    counts = [("a", 0, 0, 5000), ("a", 0, 1, 100), ("a", 0, 2, 2), ("b", 0, 0, 20)]
-    assert quality_rules.select_cutoffs(counts, rules, limit=0.01) == {"a": [2.0], "b": [None]}
+def test_quality_limits_false_rejections_of_all_rules_together():
+    grid = (1.0, 2.0, 3.0)
+    rules = (quality_rules.RiskRule("r", "x", grid), quality_rules.RiskRule("s", "y", grid))
+    # Each rule alone may go to its strictest cutoff, both together lose too many good texts beyond the loosest.
+    counts = [("a", (0, 0), 5000, 0), ("a", (1, 0), 20, 40), ("a", (0, 1), 20, 30), ("a", (3, 0), 1, 9), ("a", (0, 3), 1, 9), ("b", (0, 0), 20, 5)]
+    assert quality_rules.select_cutoffs(counts, rules, limit=0.01) == {"a": [1.0, None], "b": [None, None]}
+    lost = [("a", (0, 0), 5000, 0), ("a", (1, 0), 5, 40), ("a", (0, 1), 5, 30)]
+    assert quality_rules.select_cutoffs(lost, rules, limit=0.01) == {"a": [1.0, 1.0]}
     assert quality_rules.select_cutoffs([], rules) == {}
 
 
+def test_quality_error_over_many_holdouts():
+    """Labels at the edge of the limit: the chosen configuration rejects more than it only as often as the error allows."""
+    import random
+
+    rng, rules = random.Random(4), (quality_rules.RiskRule("r", "x", (1.0, 2.0)), quality_rules.RiskRule("s", "y", (1.0, 2.0)))
+    false = {(): 0.0, (0,): 0.011, (1,): 0.011, (0, 1): 0.022}
+    wrong = 0
+    for _ in range(200):
+        draws = [(int(rng.random() < 0.011), int(rng.random() < 0.011)) for _ in range(3000)]
+        counts = Counter(draws)
+        chosen = quality_rules.select_cutoffs([("a", k, n, 1) for k, n in counts.items()], rules, limit=0.01)["a"]
+        used = tuple(i for i, c in enumerate(chosen) if c == 1.0)
+        wrong += false[used] > 0.01
+    assert wrong <= 0.05 * 200 + 6
+
+
 def test_urls(spark, sf):
     import re as r
 
