@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -51,16 +52,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate copies: ``spark.checkpoint.dir``, or a temporary one where that is unset and everything runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="loomery-")
+    return folder.rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a written copy that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and cut its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is made only where that setting is missing (tests, one
-    machine). The copy survives lost executors, and Spark's cleaner removes it
-    once nothing refers to it.
+    The copy survives lost executors, and Spark's cleaner removes it once nothing
+    refers to it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomery-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
