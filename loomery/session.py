@@ -68,6 +68,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffle files and checkpoints that nothing refers to any more.
+
+    It acts when the driver collects garbage, which a driver that does little may not
+    do for half an hour; jobs of many rounds call this between them.
+    """
+    spark._jvm.System.gc()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and cut its lineage.
 
