@@ -35,9 +35,11 @@ from pyspark.sql.window import Window
 
 from loomery.llm.columns import fresh
 from loomery.llm.components import MOST_BROADCAST, connected_components
-from loomery.session import durable, importable
+from loomery.session import durable, importable, release
 
 BANDS, ROWS, WORDS, SIMILARITY = 20, 4, 5, 0.8
+#: Darts that a text throws for its coordinates, and units and darts that a worker holds at once.
+DARTS, AT_ONCE = 600, 600_000
 #: Leaders of a bucket in each round after the first, which has one.
 LEADERS = 3
 #: Coordinates of 80 that must agree before a member is compared with a leader; the exact finish has no such test.
@@ -61,7 +63,7 @@ class WordHashes(dict):
     def __missing__(self, chunk: str) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         word = _OUTER.sub("", chunk).lower()
         out = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) or 1) if word else 0
@@ -142,11 +144,12 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         at = 0
-        while at < len(texts):  # about a million units at once bound the memory
+        while at < len(texts):
             units, size, stop = [], 0, at
-            while stop < len(texts) and size < 1_000_000:
+            # Units and darts at once bound the memory; however short, a text throws about DARTS of them.
+            while stop < len(texts) and size < AT_ONCE:
                 units.append(shingle_units(texts[stop]))
-                size += len(units[-1])
+                size += len(units[-1]) + DARTS
                 stop += 1
             owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
             signature = dart_signatures(np.concatenate(units) if units else np.zeros(0, np.uint64), owner, len(units), BANDS * ROWS)
@@ -294,13 +297,18 @@ def near_classes(docs: DataFrame, text: str = "text", most_rounds: int = 3) -> D
             # A list holds at most LEADERS for each band.
             nearest = F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), asc=False), 1, LEADERS)
             pairs = likely.groupBy("a").agg(nearest.alias("near")).select("a", F.explode("near.b").alias("b"))
+        release(docs.sparkSession)
         found = durable(_verified(durable(pairs), units))
         if turn and found.isEmpty():
             break
         classes = joined(found) if turn else connected_components(found)
-    found = durable(_verified(durable(_left_pairs(of_buckets(), units)), units))
+    release(docs.sparkSession)
+    left = durable(_left_pairs(of_buckets(), units))
+    release(docs.sparkSession)
+    found = durable(_verified(left, units))
     if not found.isEmpty():
         classes = joined(found)
+    release(docs.sparkSession)
     shared = durable(_class_of_nodes(classes, nodes))
     out = signed.select("doc_id", "node").join(shared, "node", "left")
     keeps = F.col("keeper").isNull() | ((F.col("keeper.node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")))
