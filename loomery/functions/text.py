@@ -152,4 +152,4 @@ def clean_price(text: Column) -> Column:
 
 
 def relevant_lines(text: Column, least: int = 20) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > least)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > least)

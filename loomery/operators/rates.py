@@ -29,8 +29,9 @@ def sustained(events: DataFrame, key: str, ts: str, tie: str, holds: Column, sec
 
 
 def running_mean(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Add ``running_mean``; exact sums if ``value`` is a decimal."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running_mean", F.avg(value).over(w))
+    return events.withColumn("running_mean", F.sum(value).over(w).cast("double") / F.count(value).over(w))
 
 
 def trailing_mean(events: DataFrame, key: str, order: list[str], value: str, rows: int) -> DataFrame:

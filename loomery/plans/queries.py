@@ -319,9 +319,11 @@ def sustained_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return rates.sustained(table(spark, sf, "events"), "user_id", "ts", "event_id", F.col("value") > 5, 21600).select("user_id", "n")
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running_mean FROM events")
+@query("SELECT event_id, sum(value::DECIMAL(18, 4)) OVER w::DOUBLE / count(value) OVER w AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rates.running_mean(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", r4(F.col("running_mean")).alias("running_mean"))
+    # Decimal sums are exact in any order, so no digit of the mean depends on the engine.
+    events = table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,4)"))
+    return rates.running_mean(events, "user_id", ["ts", "event_id"], "value").select("event_id", "running_mean")
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING), 4) AS trailing_mean FROM events")
@@ -625,10 +627,10 @@ def depth_quality_trend(spark: SparkSession, sf: str) -> DataFrame:
     return trends.depth_trend(q, "l_linenumber", "q")
 
 
-@query("SELECT event_id, round(least(value / 40 * CASE WHEN value / 30 > 0.8 THEN 1.2 WHEN value / 30 > 0.6 THEN 1.1 ELSE 1 END * CASE WHEN value > 2 THEN 1.15 ELSE 1 END * CASE WHEN user_id % 5 < 3 THEN 1.1 ELSE 1 END, 1), 4) AS score FROM events")
+@query("SELECT event_id, least(value / 40 * CASE WHEN value / 30 > 0.8 THEN 1.2 WHEN value / 30 > 0.6 THEN 1.1 ELSE 1 END * CASE WHEN value > 2 THEN 1.15 ELSE 1 END * CASE WHEN user_id % 5 < 3 THEN 1.1 ELSE 1 END, 1) AS score FROM events")
 def boosted_scores(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf, "events").select("event_id", r4(trends.boosted(v / 40, v / 30, v, F.col("user_id") % 5)).alias("score"))
+    return table(spark, sf, "events").select("event_id", trends.boosted(v / 40, v / 30, v, F.col("user_id") % 5).alias("score"))
 
 
 @query("SELECT event_type, round(CASE WHEN s > 0.95 THEN least(10 * 1.1, 20) WHEN s < 0.8 THEN greatest(10 * 0.8, 1) ELSE 10 END, 4)::DOUBLE AS rate FROM (SELECT event_type, avg((value < 15)::INT) AS s FROM events GROUP BY 1)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomery.plans import log_queries, page_queries  # noqa: F401  they register their queries
 from loomery.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "host_summary"

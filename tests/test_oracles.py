@@ -11,6 +11,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Not expressible in SQL; compared with plain Python in test_operators.py.
+BRUTE_FORCE = {"usage_clusters"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -21,9 +25,9 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 3)
+        return None if math.isnan(v) else float(f"{v:.12g}")
     if hasattr(v, "as_tuple"):
-        return round(float(v), 3)
+        return float(v)
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
@@ -36,9 +40,9 @@ def rows(names, data):
 def test_query_equals_oracle(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
     data = rows(got.columns, got.collect())
-    sql = registry.ORACLES.get(name)
-    if sql is None:
+    if name in BRUTE_FORCE:
         return
+    sql = registry.ORACLES[name]
     want = duck.sql(sql)
     assert sorted(got.columns) == sorted(want.columns)
     assert data == rows(want.columns, want.fetchall())
