@@ -201,3 +201,21 @@ def test_nearest_takes_many_queries_or_none(spark):
     want = {(q, i) for q in range(0, 60, 10) for i, _ in sorted(vectors[:60], key=lambda v: (-cosine(v[1], vectors[q][1]), v[0]))[:4]}
     assert {(r.query, r.vec_id) for r in got} == want
     assert similarity.nearest(frame.limit(0), frame.limit(0), 4).count() == 0
+
+
+def test_clusters_are_those_of_the_nearest_mean(spark):
+    """k-means by its definition: in standardised space every row is nearest to the mean of its own cluster, and no cluster is empty."""
+    import numpy as np
+
+    from loomery.operators import clustering
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.4, (30, 2)) for c in ((0, 0), (6, 1), (1, 7), (8, 8), (-5, 4))])
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id long, a double, b double")
+    rows = sorted(clustering.k_means(frame, ["a", "b"]).select("id", "cluster").collect())
+    labels = np.array([r.cluster for r in rows])
+    scaled = (points - points.mean(axis=0)) / points.std(axis=0, ddof=1)
+    means = np.array([scaled[labels == k].mean(axis=0) for k in range(5)])
+    nearest = ((scaled[:, None, :] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert (nearest == labels).all()
+    assert clustering.k_means(frame.limit(2), ["a", "b"]).select("cluster").distinct().count() == 1
