@@ -41,7 +41,7 @@ def floor_percentiles(df: DataFrame, by: str, value: str, points: Sequence[int])
 
 def daily_performance(log: DataFrame, tool: str, ts: str, success: Column, seconds: Column) -> DataFrame:
     """Executions, mean time and success rate of each tool and day."""
-    return log.groupBy(tool, F.date_trunc("day", F.col(ts)).alias("date")).agg(F.count("*").alias("total_executions"), F.avg(seconds).alias("avg_execution_time"), (F.count_if(success) / F.count("*")).alias("success_rate"))
+    return log.groupBy(tool, F.date_trunc("day", F.col(ts)).alias("date")).agg(F.count("*").alias("total_executions"), (F.sum(seconds).cast("double") / F.count(seconds)).alias("avg_execution_time"), (F.count_if(success) / F.count("*")).alias("success_rate"))
 
 
 def transitions(log: DataFrame, session: str, order: Sequence[str], tool: str) -> DataFrame:

@@ -168,11 +168,12 @@ def strategy_order(spark: SparkSession, sf: str) -> DataFrame:
     return reports.strategy_order(known, wanted).select("strategy", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {LOG} SELECT plan, max(confidence) AS largest, round(avg(confidence), 4) AS mean, round(sum(confidence * cpu) / nullif(sum(cpu), 0), 4) AS weighted, round(least(avg(confidence) + 0.1 * ((count(DISTINCT strategy) = 1)::INT), 1), 4) AS raised FROM log GROUP BY 1")
+@query(f"WITH {LOG} SELECT plan, max(confidence) AS largest, round(avg(confidence), 4) AS mean, round(sum(confidence * cpu) / nullif(sum(cpu), 0), 9) AS weighted, round(least(avg(confidence) + 0.1 * ((count(DISTINCT strategy) = 1)::INT), 1), 4) AS raised FROM log GROUP BY 1")
 def coordination_confidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = log(spark, sf).withColumn("weight", F.col("cpu"))
     out = reports.coordination_confidence(rows, "plan", (F.count_distinct("strategy") == 1).cast("int"))
-    return out.select("plan", "largest", *[r4(F.col(c)).alias(c) for c in ("mean", "weighted", "raised")])
+    # Nine digits: at four, weights of a few whole numbers give ties that float noise decides.
+    return out.select("plan", "largest", r4(F.col("mean")).alias("mean"), F.round("weighted", 9).alias("weighted"), r4(F.col("raised")).alias("raised"))
 
 
 @query(f"WITH {LOG}, q AS (SELECT domain, strategy, tool, count(*) AS n, (count(*) FILTER (ok)) / count(*) * avg(confidence) AS quality FROM log GROUP BY 1, 2, 3) SELECT domain, strategy, tool, n, CASE WHEN n >= 5 THEN CASE WHEN quality >= 0.7 THEN 'high' WHEN quality >= 0.4 THEN 'medium' ELSE 'low' END END AS name FROM q")

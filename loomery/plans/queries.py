@@ -260,10 +260,10 @@ def tool_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return executions.floor_percentiles(table(spark, sf, "events"), "event_type", "value", [50, 95])
 
 
-@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS date, count(*) AS total_executions, round(avg(value), 4) AS avg_execution_time, round(count(*) FILTER (value < 10) * 1.0 / count(*), 4) AS success_rate FROM events GROUP BY 1, 2")
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS date, count(*) AS total_executions, sum(value::DECIMAL(18, 4))::DOUBLE / count(value) AS avg_execution_time, round(count(*) FILTER (value < 10) * 1.0 / count(*), 4) AS success_rate FROM events GROUP BY 1, 2")
 def daily_tool_performance(spark: SparkSession, sf: str) -> DataFrame:
-    d = executions.daily_performance(table(spark, sf, "events"), "event_type", "ts", F.col("value") < 10, F.col("value"))
-    return d.select("event_type", "date", "total_executions", r4(F.col("avg_execution_time")).alias("avg_execution_time"), r4(F.col("success_rate")).alias("success_rate"))
+    d = executions.daily_performance(table(spark, sf, "events"), "event_type", "ts", F.col("value") < 10, F.col("value").cast("decimal(18,4)"))
+    return d.select("event_type", "date", "total_executions", "avg_execution_time", r4(F.col("success_rate")).alias("success_rate"))
 
 
 @query("""WITH p AS (SELECT event_type AS tool, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_tool FROM events)
