@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.functions import urls
+from loomery.operators.ranking import positions
 from loomery.session import durable
 
 
@@ -18,12 +19,13 @@ def crawl_statistics(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_map(pages: DataFrame, most: int = 1000) -> DataFrame:
-    """For each depth its page count and its first ``most`` pages by URL, as nested rows; the limit bounds a row's size."""
-    rank = F.row_number().over(Window.partitionBy("depth").orderBy("url"))
+def site_map(pages: DataFrame) -> DataFrame:
+    """Every page under its depth, with the depth's page count: (depth, n, url, parent, n_links), one row a page.
+
+    Flat rows, for a depth may hold most pages; depths are few, so their counts are broadcast.
+    """
     counts = pages.groupBy("depth").agg(F.count("*").alias("n"))
-    shown = pages.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("depth").agg(F.sort_array(F.collect_list(F.struct("url", "parent", "n_links"))).alias("pages"))
-    return counts.join(shown, "depth")
+    return pages.join(F.broadcast(counts), "depth").select("depth", "n", "url", "parent", "n_links")
 
 
 def depth_report(pages: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def depth_first_order(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """(node, depth, at): pre-order of a breadth-first tree, children by link position.
 
     A node's sort key is the list of positions on its path, so the order is one
-    range-partitioned sort; ``at`` follows from counts of each range.
+    range-partitioned sort.
     """
     position = edges.groupBy(F.col("src").alias("parent"), F.col("dst").alias("node")).agg(F.min("pos").cast("long").alias("pos"))
     placed = tree.join(position, ["parent", "node"], "left").select("node", "parent", "depth", F.coalesce("pos", F.lit(0)).alias("pos"))
@@ -59,15 +61,7 @@ def depth_first_order(edges: DataFrame, tree: DataFrame) -> DataFrame:
         step = placed.where(F.col("depth") == depth).alias("t").join(level.alias("p"), F.col("t.parent") == F.col("p.node"))
         level = durable(step.select("t.node", F.lit(depth).alias("depth"), F.concat("p.key", F.array("t.pos")).alias("key")))
         done = done.unionByName(level)
-    parts = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(done.repartitionByRange(parts, "key", "node").withColumn("part", F.spark_partition_id()))
-    sizes, offsets, at = dict(ranged.groupBy("part").count().collect()), {}, 0
-    for part in sorted(sizes):
-        offsets[part] = at
-        at += sizes[part]
-    lookup = F.create_map(*[F.lit(x).cast("long") for pair in (offsets or {0: 0}).items() for x in pair])
-    own = F.row_number().over(Window.partitionBy("part").orderBy("key", "node")) - 1
-    return ranged.select("node", "depth", (own + F.try_element_at(lookup, F.col("part").cast("long"))).alias("at"))
+    return positions(done, ["key", "node"], "at").select("node", "depth", "at")
 
 
 def evict(patterns: DataFrame, now: Column, days: int = 30, most: int | None = None) -> DataFrame:

@@ -20,8 +20,7 @@ def breadth_first(edges: DataFrame, start: DataFrame, max_depth: int, max_pages:
     position. ``max_pages`` keeps the first nodes of the last level in that order,
     as a frontier limited to the pages still allowed.
     """
-    seen = durable(start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["node"].dataType).alias("parent"), F.lit(0).cast("long").alias("pos")))
-    level = seen
+    seen = level = durable(start.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(start.schema["node"].dataType).alias("parent"), F.lit(0).cast("long").alias("pos")))
     count = seen.count()
     for depth in range(1, max_depth + 1):
         if max_pages is not None and count >= max_pages:
@@ -36,7 +35,7 @@ def breadth_first(edges: DataFrame, start: DataFrame, max_depth: int, max_pages:
         if not added:
             break
         count += added
-        seen = durable(seen.unionByName(level))
+        seen = seen.unionByName(level)
     return seen.select("node", "depth", "parent")
 
 

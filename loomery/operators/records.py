@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.operators.ranking import medians
+
 #: Price columns by precedence, and the word lists of the sentiment share.
 PRICE_COLUMNS = ("price", "cost", "amount", "total", "value")
 POSITIVE = ("good", "great", "excellent", "amazing", "love", "best", "wonderful", "fantastic")
@@ -34,10 +36,12 @@ def price_column(df: DataFrame) -> str | None:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column, in one pass: field, count, mean, median, min, max, std_dev, sum.
 
-    The median is exact, which holds a column's distinct values in one task; pass
-    through ``approx_profile`` where a column has too many of them.
+    The median is exact, by counts of values summed over sorted ranges, which shuffles
+    the distinct values; ``approx_profile`` needs one pass and no such shuffle.
     """
-    return _profile(df, columns, lambda c: F.percentile(c, F.lit(0.5)))
+    rest = _profile(df, columns, lambda c: F.lit(None))
+    exact = medians(df, list(columns or numeric_columns(df)))
+    return rest.drop("median").join(F.broadcast(exact), "field", "left").select(*rest.columns)
 
 
 def approx_profile(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -69,7 +73,9 @@ def price_statistics(df: DataFrame, price: str | None = None, by: str | None = N
     c = F.col(name).cast("double")
     if by:
         return df.where(c.isNotNull()).groupBy(by).agg(F.avg(c).alias("average"), F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("count"))
-    return df.agg(F.avg(c).alias("average"), F.percentile(c, F.lit(0.5)).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), (F.max(c) - F.min(c)).alias("range"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_dev"))
+    exact = medians(df.select(c.alias("price")), ["price"]).agg(F.max("median").alias("median"))
+    row = df.agg(F.avg(c).alias("average"), F.min(c).alias("min"), F.max(c).alias("max"), (F.max(c) - F.min(c)).alias("range"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std_dev"))
+    return row.join(F.broadcast(exact)).select("average", "median", "min", "max", "range", "std_dev")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:

@@ -98,7 +98,27 @@ def tf_idf(docs: DataFrame, key: str, words: Column) -> DataFrame:
     return raw.join(size, key).select(key, "word", (F.col("w") / F.col("size")).alias("weight"))
 
 
-def text_similarity(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Cosine of every pair that shares a word, from two TF-IDF tables (a, word, weight) and (b, word, weight)."""
-    pairs = left.select(a, "word", F.col("weight").alias("x")).join(right.select(b, "word", F.col("weight").alias("y")), "word")
-    return pairs.groupBy(a, b).agg(F.sum(F.col("x") * F.col("y")).alias("similarity"))
+def _rare_words(weights: DataFrame, key: str, frequency: DataFrame, least: float) -> DataFrame:
+    """(key, word): each text's rarest words; its other words alone can't reach a cosine of ``least``.
+
+    Words are summed from the commonest on, and go while the squares of the weights stay below least².
+    """
+    common = Window.partitionBy(key).orderBy(F.desc("frequency"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = weights.join(frequency, "word").withColumn("square", F.sum(F.col("weight") * F.col("weight")).over(common))
+    return ranked.where(F.col("square") >= (least - 1e-9) ** 2).select(key, "word")
+
+
+def text_similarity(left: DataFrame, right: DataFrame, a: str, b: str, least: float, keep: Column | None = None) -> DataFrame:
+    """(a, b, similarity) of all pairs with a cosine of at least ``least``, from two TF-IDF tables (a, word, weight) and (b, word, weight).
+
+    Two texts meet only where they share one of their rare words (a prefix filter with
+    one order of words for both sides, which loses no pair); ``keep`` may narrow the
+    pairs by their keys. Weights are normalised, as ``tf_idf`` gives them.
+    """
+    if least <= 0:
+        raise ValueError("least has to be above 0")
+    frequency = left.select("word").unionAll(right.select("word")).groupBy("word").agg(F.count("*").alias("frequency"))
+    met = _rare_words(left, a, frequency, least).join(_rare_words(right, b, frequency, least), "word")
+    met = (met if keep is None else met.where(keep)).select(a, b).distinct()
+    pairs = met.join(left.select(a, "word", F.col("weight").alias("x")), a).join(right.select(b, "word", F.col("weight").alias("y")), [b, "word"])
+    return pairs.groupBy(a, b).agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") >= least)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.operators.ranking import positions
+
 
 def trend_by_thirds(df: DataFrame, by: str, order: list[str], score: str) -> DataFrame:
     """Per series: the mean of the first third against that of the last, which rounds up; needs five rows."""
@@ -38,9 +40,9 @@ def adaptive_rate(rate: Column, base: Column, success_rate: Column) -> Column:
 
 
 def rank_agreement(df: DataFrame, order: str, score: str) -> DataFrame:
-    """Mean of 1 / (1 + |position - position by score|) over an exploration; a top-level report over one run's pages."""
-    actual, ideal = Window.orderBy(order), Window.orderBy(F.desc(score), order)
-    rows = df.select(F.row_number().over(actual).alias("a"), F.row_number().over(ideal).alias("i"))
+    """Mean of 1 / (1 + |position - position by score|) over an exploration, ties of scores by ``order``; nulls score least."""
+    rows = df.select(F.col(order).alias("o"), F.col(score).isNull().alias("unscored"), (-F.col(score)).alias("down"))
+    rows = positions(positions(rows, ["o"], "a"), ["unscored", "down", "o"], "i")
     return rows.agg(F.avg(1 / (1 + F.abs(F.col("a") - F.col("i")))).alias("agreement"))
 
 

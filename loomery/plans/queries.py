@@ -72,9 +72,10 @@ def url_category(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT page_id, CASE WHEN len(l) >= 2 THEN l[-2] || '.' || l[-1] ELSE h END AS domain, CASE WHEN len(l) > 2 THEN array_to_string(l[1:len(l)-2], '.') ELSE '' END AS subdomain,
-       CASE WHEN len(l) >= 2 THEN l[-1] ELSE '' END AS tld FROM (SELECT page_id, h, string_split(h, '.') AS l FROM (SELECT page_id, {HOST} AS h FROM pages))""")
+       CASE WHEN len(l) >= 2 THEN l[-1] ELSE '' END AS tld, p AS port, s AS scheme, n AS netloc
+       FROM (SELECT *, string_split(h, '.') AS l FROM (SELECT page_id, regexp_replace({HOST}, ':[0-9]*$', '') AS h, regexp_extract({HOST}, ':([0-9]+)$', 1) AS p, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS n FROM pages))""")
 def url_domain_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return pages(spark, sf).select("page_id", urls.domain_parts(F.col("url")).alias("p")).select("page_id", "p.domain", "p.subdomain", "p.tld")
+    return pages(spark, sf).select("page_id", urls.domain_parts(F.col("url")).alias("p")).select("page_id", "p.domain", "p.subdomain", "p.tld", "p.port", "p.scheme", "p.netloc")
 
 
 @query(f"SELECT page_id, {HOST} || '_' || CASE len({SEGS}) WHEN 0 THEN 'homepage' WHEN 1 THEN {SEGS}[1] ELSE 'deep_page' END AS shape FROM pages")
@@ -218,9 +219,9 @@ def sentiment_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS field, round(100.0 * count(NULLIF({c}::VARCHAR, '')) / count(*), 4) AS completeness, count(*) - count(NULLIF({c}::VARCHAR, '')) AS missing_count, count(DISTINCT NULLIF({c}::VARCHAR, '')) AS unique_values,
-       round((100.0 * count(NULLIF({c}::VARCHAR, '')) / count(*) + 100.0 * count(DISTINCT NULLIF({c}::VARCHAR, '')) / count(*)) / 2, 4) AS quality_score FROM customer""" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+       round((100.0 * count(NULLIF({c}::VARCHAR, '')) / count(*) + 100.0 * count(DISTINCT NULLIF({c}::VARCHAR, '')) / count(*)) / 2, 4) AS quality_score FROM customer""" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
 def data_quality(spark: SparkSession, sf: str) -> DataFrame:
-    q = records.data_quality(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    q = records.data_quality(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     return q.select("field", r4(F.col("completeness")).alias("completeness"), "missing_count", "unique_values", r4(F.col("quality_score")).alias("quality_score"))
 
 
@@ -418,8 +419,8 @@ def vector_search_in_groups(spark: SparkSession, sf: str) -> DataFrame:
 def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
     words = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")
     w = similarity.tf_idf(table(spark, sf, "benchmark"), "item_id", words)
-    pairs = similarity.text_similarity(w.withColumnRenamed("item_id", "a"), w.withColumnRenamed("item_id", "b"), "a", "b")
-    return pairs.where("a < b AND similarity >= 0.3").select("a", "b", r4(F.col("similarity")).alias("similarity"))
+    pairs = similarity.text_similarity(w.withColumnRenamed("item_id", "a"), w.withColumnRenamed("item_id", "b"), "a", "b", 0.3, F.col("a") < F.col("b"))
+    return pairs.select("a", "b", r4(F.col("similarity")).alias("similarity"))
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
@@ -568,9 +569,9 @@ def provider_status(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("event_type", "n", executions.health(F.col("rate")).alias("status"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','from','this','that','are','was')))) AS n FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','from','this','that','are','was')))) AS n FROM documents")
 def text_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.size(tx.keywords(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(tx.keywords(F.col("text"))).cast("long").alias("n"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_acctbal >= 6 THEN 'high' WHEN s_acctbal >= 3 THEN 'medium' ELSE 'low' END AS level, round(least(0.5 + least(0.1 * s_nationkey, 0.3) + greatest(0, 0.2 - s_nationkey / 10.0), 1), 4) AS score FROM supplier")
@@ -666,9 +667,9 @@ def crawl_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("pages", "successful", r4(F.col("success_rate")).alias("success_rate"), "links", r4(F.col("avg_seconds")).alias("avg_seconds"), "hosts", "max_depth")
 
 
-@query(f"WITH {_EXPLORED} SELECT depth::INT AS depth, count(*) AS n, min(url) AS first_url FROM e GROUP BY 1")
+@query(f"WITH {_EXPLORED} SELECT depth::INT AS depth, count(*) OVER (PARTITION BY depth) AS n, url, n_links::BIGINT AS n_links FROM e")
 def site_map(spark: SparkSession, sf: str) -> DataFrame:
-    return exploration.site_map(_explored(spark, sf)).select("depth", "n", F.get("pages", 0)["url"].alias("first_url"))
+    return exploration.site_map(_explored(spark, sf)).select("depth", "n", "url", F.col("n_links").cast("long").alias("n_links"))
 
 
 @query(f"WITH {_EXPLORED}, c AS (SELECT depth, count(*) AS n FROM e GROUP BY 1) SELECT depth::INT AS depth, n, round(n * 1.0 / sum(n) OVER (), 4) AS share, round(sum(n) OVER (ORDER BY depth) * 1.0 / sum(n) OVER (), 4) AS reached FROM c")
@@ -681,17 +682,18 @@ def discovery_efficiency(spark: SparkSession, sf: str) -> DataFrame:
     return exploration.discovery_efficiency(_explored(spark, sf)).select(r4(F.col("efficiency")).alias("efficiency"), "n")
 
 
-@query("SELECT bucket, count(*) AS n, count(*) FILTER (score >= 0.7) AS passing FROM (SELECT score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS bucket FROM (SELECT CASE WHEN page_id % 3 = 0 THEN 0 ELSE page_id % 10 / 10.0 END AS score FROM pages)) GROUP BY 1")
+@query("SELECT bucket, count(*) AS n, count(*) FILTER (score >= 0.7) AS passing FROM (SELECT score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'fair' ELSE 'poor' END AS bucket FROM (SELECT CASE WHEN NOT contains(url, '?') THEN 0 ELSE page_id % 10 / 10.0 END AS score FROM pages)) GROUP BY 1")
 def score_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    p = pages(spark, sf).select(F.col("page_id").alias("url"))
-    scores = p.where("url % 3 <> 0").withColumn("score", F.col("url") % 10 / 10)
-    return exploration.enrich_scores(p, scores).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("passes").alias("passing"))
+    p = pages(spark, sf)
+    scores = p.select(F.col("page_id").alias("url"), F.when(F.contains("url", F.lit("?")), F.col("page_id") % 10 / 10).alias("score"))
+    return exploration.enrich_scores(p.select(F.col("page_id").alias("url")), scores.where("score IS NOT NULL")).groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("passes").alias("passing"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND 1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name), 1) >= 0.8")
+@query("""WITH c AS (SELECT p_brand, p_size, p_name, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY 1, 2, 3)
+       SELECT a.k AS a, b.k AS b, a.n AS a_rows, b.n AS b_rows FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.k < b.k AND 1 - levenshtein(a.p_name, b.p_name) * 1.0 / greatest(length(a.p_name), length(b.p_name), 1) >= 0.8""")
 def near_strings(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_name", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("g"))
-    return clustering.near_strings(p, "p_partkey", "g", "p_name").select("a", "b")
+    return clustering.near_strings(p, "p_partkey", "g", "p_name").select("a", "b", "a_rows", "b_rows")
 
 
 @query("SELECT s_suppkey, round((CASE WHEN s_acctbal = 0 AND n = 0 THEN 1 ELSE 1 - abs(s_acctbal - n) / greatest(abs(s_acctbal), abs(n)) END + (s_nationkey = 3)::INT) / 2.0, 4) AS similarity FROM (SELECT *, 1000.0::DOUBLE AS n FROM supplier)")
