@@ -191,3 +191,85 @@ def registered_domain(url: Column) -> Column:
     name = F.regexp_replace(urls.host(url), r":\d+$|^.*@", "")
     short = r"(?:^|\.)((?:[^.]+\.)(?:co|com|org|net|gov|ac|edu)\.[a-z]{2})$"
     return F.when(name.rlike(short), F.regexp_extract(name, short, 1)).otherwise(F.substring_index(name, ".", -2))
+
+
+#: Words and hosts that speak for directories and social pages; marks of captchas; names of form fields, first match wins.
+DIRECTORY_WORDS = ("listing", "business", "directory", "search-result", "card", "item", "result")
+PROFILE_HOSTS = ("linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "youtube.com")
+PROFILE_WORDS = ("profile", "bio", "followers", "connections", "about")
+CAPTCHAS = {
+    "recaptcha": r"""\bclass\s*=\s*["'][^"']*\bg-recaptcha\b|\sdata-sitekey\b|<iframe\b[^>]*\bsrc\s*=\s*["'][^"']*recaptcha|\bid\s*=\s*["']recaptcha["']""",
+    "hcaptcha": r"""\bclass\s*=\s*["'][^"']*\bh-captcha\b|\sdata-sitekey\s*=\s*["'][^"']*hcaptcha|<iframe\b[^>]*\bsrc\s*=\s*["'][^"']*hcaptcha""",
+    "image_captcha": r"""\bclass\s*=\s*["'][^"']*\b(?:captcha-image|verification-image)\b|\s(?:src|alt)\s*=\s*["'][^"']*captcha""",
+    "text_captcha": r"""\bclass\s*=\s*["'][^"']*\bcaptcha-input\b|\s(?:name|placeholder)\s*=\s*["'][^"']*captcha""",
+}
+FIELD_NAMES = {
+    "email": ("email", "e-mail", "mail", "user_email", "contact_email"),
+    "name": ("name", "full_name", "first_name", "last_name", "username", "contact_name"),
+    "phone": ("phone", "telephone", "mobile", "contact_phone", "phone_number"),
+    "company": ("company", "organization", "business", "company_name"),
+    "message": ("message", "comment", "inquiry", "question", "description"),
+}
+
+
+def directory_score(html: Column) -> Column:
+    names = F.regexp_count(html, F.lit(r"""(?i)<h[123]\b|<[a-z][a-z0-9]*\b[^>]*\bclass\s*=\s*["'][^"']*\b(?:business-name|company-name)\b"""))
+    phones = F.regexp_count(html, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']tel:"""))
+    return _page_score(html, DIRECTORY_WORDS, 0.1, 0.4, 0.3, (names > 3, 0.2), (phones > 2, 0.1))
+
+
+def social_score(url: Column, html: Column) -> Column:
+    return _page_score(html, PROFILE_WORDS, 0.1, 0.3, 0.3, (tx.has_any(url, PROFILE_HOSTS), 0.4))
+
+
+def structured_score(html: Column, purpose: Column) -> Column:
+    marks = [("application/ld+json", 0.2), ("itemtype", 0.1), ("typeof", 0.1)]
+    return _page_score(html, (), 0.0, 0.0, 0.5, *[(html.contains(m), v) for m, v in marks], (purpose.isin("product_data", "company_info", "news_content"), 0.1))
+
+
+def cluster_score(sections: Column) -> Column:
+    """Confidence that a page of so many long sections can be clustered."""
+    return F.when(sections >= 10, 0.9).when(sections >= 5, 0.8).when(sections >= 2, 0.6).otherwise(0.3)
+
+
+def captchas(html: Column) -> Column:
+    """Labels of the captchas that a page shows; they are only told, never solved."""
+    return F.array_compact(F.array(*[F.when(html.rlike(f"(?i){p}"), name) for name, p in CAPTCHAS.items()]))
+
+
+def page_quality(html: Column) -> Column:
+    """struct of five scores from 0 to 1: length, structured data, title and descriptions, links, forms."""
+    f = tx.structural_features(html)
+    meta = F.when(tx.title(html) != "", 0.4).otherwise(0.0) + F.when(html.rlike(r"""(?i)<meta\b[^>]*\bname\s*=\s*["']description["']"""), 0.3).otherwise(0.0) + F.when(html.rlike(r"""(?i)<meta\b[^>]*\bproperty\s*=\s*["']og:"""), 0.3).otherwise(0.0)
+    share = lambda n, full: F.least(n / full, F.lit(1.0))
+    return F.struct(
+        share(F.length(html), 10000).alias("length"), F.when(f["has_json_ld"] | f["has_microdata"], 1.0).otherwise(0.0).alias("structured"), meta.alias("meta"),
+        share(f["link_count"], 50).alias("links"), F.when(f["form_count"] > 0, share(f["form_count"], 5)).otherwise(0.5).alias("forms"),
+    )
+
+
+def field_purpose(texts: Column, kind: Column, tag: Column) -> Column:
+    """What a form field asks for: by its name, id, placeholder and label together, else by its type or tag."""
+    low, out = F.lower(texts), None
+    for name, words in FIELD_NAMES.items():
+        out = F.when(tx.has_any(low, words), name) if out is None else out.when(tx.has_any(low, words), name)
+    return out.when(kind == "email", "email").when(kind == "tel", "phone").when(kind == "password", "password").when(tag == "textarea", "message").otherwise("unknown")
+
+
+def structural_similarity(a: Column, b: Column) -> Column:
+    """Of two struct(tag, classes, children, length): 0 for different tags, else the mean of 1, class overlap and ratios of children and text length where either has any."""
+    classes = F.when((F.size(a["classes"]) > 0) | (F.size(b["classes"]) > 0), F.size(F.array_intersect(a["classes"], b["classes"])) / F.size(F.array_union(a["classes"], b["classes"])))
+    ratio = lambda c: F.when(F.greatest(a[c], b[c]) > 0, 1 - F.abs(a[c] - b[c]) / F.greatest(a[c], b[c]))
+    parts = F.array_compact(F.array(F.lit(1.0), classes, ratio("children"), ratio("length")))
+    return F.when(a["tag"] == b["tag"], F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)).otherwise(0.0)
+
+
+def relation(kind: Column, other: Column, gap: Column) -> Column:
+    """How an element of one type relates to a later one: product_to_price, article_to_author, or null."""
+    return F.when(kind.isin("text", "name") & (other == "price"), "product_to_price").when((kind == "text") & (other == "name") & (F.abs(gap) < 100), "article_to_author")
+
+
+def success_indicators(fields: Column) -> Column:
+    """Labels of what speaks for a good extraction: many fields of a map, contacts, a long text."""
+    contact = F.arrays_overlap(F.map_keys(fields), F.array(*map(F.lit, ("email", "phone", "address", "contact_email", "telephone"))))
+    return F.array_compact(F.array(F.when(F.size(fields) >= 5, "high_field_count"), F.when(contact, "contact_info_present"), F.when(F.exists(F.map_values(fields), lambda v: F.length(v) > 50), "detailed_text_content")))

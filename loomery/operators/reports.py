@@ -183,3 +183,52 @@ def tool_overlap(plans: DataFrame, goal: Column) -> DataFrame:
 def string_list(text: Column) -> Column:
     """A list from a JSON list, else from text cut at commas."""
     return F.coalesce(F.from_json(text, "array<string>", {"mode": "PERMISSIVE"}), F.transform(F.split(text, ","), lambda x: F.trim(x)))
+
+
+def content_by_depth(pages: DataFrame) -> DataFrame:
+    """(depth, pages, length, links, avg_length, avg_links, richest, most_connected) of successful pages; the flags mark the leading depth, the least on a tie."""
+    out = pages.where("success").groupBy("depth").agg(F.count("*").alias("pages"), F.sum("length").alias("length"), F.sum("n_links").alias("links"), F.avg("length").alias("avg_length"), F.avg("n_links").alias("avg_links"))
+    best = out.agg(F.min_by("depth", F.struct(-F.col("avg_length"), F.col("depth"))).alias("long"), F.min_by("depth", F.struct(-F.col("avg_links"), F.col("depth"))).alias("linked"))
+    return out.join(F.broadcast(best)).select(*out.columns, (F.col("depth") == F.col("long")).alias("richest"), (F.col("depth") == F.col("linked")).alias("most_connected"))
+
+
+def performance_rollup(log: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attempts and success rate at every level of ``by``, from all rows to single keys; a null key stands for all of its values."""
+    return log.rollup(*by).agg(F.count("*").alias("attempts"), (F.count_if("ok") / F.count("*")).alias("rate"))
+
+
+def improvement_areas(profiles: DataFrame, k: int = 3, below: float = LOW_SUCCESS) -> DataFrame:
+    """Of the ``k`` tools of lowest success rate those under ``below``."""
+    return profiles.orderBy("success_rate", "tool").limit(k).where(F.col("success_rate") < below)
+
+
+def recommendations(overall: DataFrame, profiles: DataFrame, failures: DataFrame, k: int = 5) -> DataFrame:
+    """(place, kind, subject): the first ``k`` of: low overall rate (success_rate), weak and slow tools by name, common failure classes (failure, n)."""
+    rows = overall.where("success_rate < 0.7").select(F.lit(0).alias("step"), F.lit("").alias("subject"), F.lit("low_success_rate").alias("kind"))
+    rows = rows.unionByName(profiles.where("success_rate < 0.6").select(F.lit(1).alias("step"), F.col("tool").alias("subject"), F.lit("weak_tool").alias("kind")))
+    rows = rows.unionByName(profiles.where("avg_seconds > 30").select(F.lit(1).alias("step"), F.col("tool").alias("subject"), F.lit("slow_tool").alias("kind")))
+    rows = rows.unionByName(failures.where("n > 5").select(F.lit(2).alias("step"), F.col("failure").alias("subject"), F.lit("common_failure").alias("kind")))
+    best = rows.orderBy("step", "subject", F.desc("kind")).limit(k)
+    return best.select(F.row_number().over(Window.orderBy("step", "subject", F.desc("kind"))).alias("place"), "kind", "subject")
+
+
+def common_fields(log: DataFrame, value: str, by: str, k: int = 10, above: float = 0.8) -> DataFrame:
+    """(by, value, n, place): the ``k`` most frequent values of each key among its rows of confidence above ``above``."""
+    counts = log.where(F.col("confidence") > above).groupBy(by, value).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), value))
+    return counts.withColumn("place", place).where(F.col("place") <= k)
+
+
+def constant_parameters(calls: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Parameters (by) that had one value in all calls, with it."""
+    return calls.groupBy(*by).agg(F.min(value).alias("value"), F.max(value).alias("top"), F.count(value).alias("n")).where("value = top AND n > 1").drop("top")
+
+
+def failed_plans(plans: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` latest failed plans with their tools."""
+    return plans.where(~F.col("ok")).orderBy(F.desc("plan")).limit(k)
+
+
+def renumbered(tools: Column, confidence: Column) -> Column:
+    """A plan taken over from a pattern: steps numbered from 1, a tenth less confidence."""
+    return F.struct(F.transform(tools, lambda t, i: F.struct((i + 1).alias("step"), t.alias("tool"))).alias("steps"), (confidence * 0.9).alias("confidence"))
