@@ -201,14 +201,21 @@ _ENTITY_SQL = {
 
 @query("SELECT entity_type, count(*) AS n, count(DISTINCT value) AS n_distinct FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in _ENTITY_SQL.items()) + ") GROUP BY 1")
 def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    found = records.entities(table(spark, sf, "documents"), F.col("text")).where("entity_type <> 'numbers'")
+    found = records.entities(table(spark, sf, "documents"), F.col("text"), list(_ENTITY_SQL))
     pairs = found.groupBy("entity_type", "value").agg(F.count("*").alias("k"))
     return pairs.groupBy("entity_type").agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct"))
 
 
+@query("WITH c AS (SELECT entity_type, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for k, p in _ENTITY_SQL.items()) + """) GROUP BY 1, 2),
+       r AS (SELECT *, count(*) OVER (PARTITION BY entity_type) AS n_distinct, row_number() OVER (PARTITION BY entity_type ORDER BY n DESC, value) AS rank FROM c) SELECT entity_type, value, n, n_distinct, rank FROM r WHERE rank <= 5""")
+def entity_top(spark: SparkSession, sf: str) -> DataFrame:
+    found = records.entity_frequency(table(spark, sf, "documents"), F.col("text"), types=list(_ENTITY_SQL))
+    return found.select("entity_type", "value", "n", "n_distinct", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT value, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '" + _ENTITY_SQL["emails"] + "')) AS value FROM documents) GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
 def entity_top_emails(spark: SparkSession, sf: str) -> DataFrame:
-    return records.entity_frequency(table(spark, sf, "documents"), F.col("text")).where("entity_type = 'emails'").select("value", "n")
+    return records.entity_frequency(table(spark, sf, "documents"), F.col("text"), types=["emails"]).select("value", "n")
 
 
 @query("""WITH s AS (SELECT contains(t,'good')::INT+contains(t,'great')::INT+contains(t,'excellent')::INT+contains(t,'amazing')::INT+contains(t,'love')::INT+contains(t,'best')::INT+contains(t,'wonderful')::INT+contains(t,'fantastic')::INT AS p,
@@ -362,18 +369,24 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", urls.normalize_link(urls.resolve_link(F.col("url"), F.col("href"))).alias("link")).distinct()
 
 
-@query("""SELECT page_id, regexp_matches(html, 'react|data-reactroot|data-react-checksum|__REACT_DEVTOOLS') AS react, regexp_matches(html, 'jquery|\\$\\(|data-toggle') AS jquery, contains(lower(html), 'https://') AS https_links,
+def _marks_sql(text: str, marks: dict[str, tuple[str, ...]]) -> str:
+    tests = [" OR ".join(f"contains({text}, '{m}')" for m in words) for words in marks.values()]
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {t} THEN '{name}' END" for name, t in zip(marks, tests, strict=True)) + ")"
+
+
+@query(f"""SELECT page_id, {_marks_sql("html", tx.FRAMEWORKS)} AS frameworks, {_marks_sql("lower(html)", tx.SECURITY)} AS security, {_marks_sql("lower(html)", tx.PROTECTION)} AS protection,
        regexp_matches(lower(html), 'login|sign in|log in|authentication required|access denied|unauthorized|signin|log-in|member|account|password') AS needs_login FROM pages""")
 def page_technology(spark: SparkSession, sf: str) -> DataFrame:
     h = F.col("html")
-    found = tx.labels(h, tx.FRAMEWORKS)
-    return table(spark, sf, "pages").select("page_id", F.array_contains(found, "React").alias("react"), F.array_contains(found, "jQuery").alias("jquery"), F.array_contains(tx.labels(F.lower(h), tx.SECURITY), "HTTPS Links").alias("https_links"), tx.needs_login(h).alias("needs_login"))
+    low = F.lower(h)
+    found = {"frameworks": tx.labels(h, tx.FRAMEWORKS), "security": tx.labels(low, tx.SECURITY), "protection": tx.labels(low, tx.PROTECTION)}
+    return table(spark, sf, "pages").select("page_id", *[F.array_join(v, ",").alias(k) for k, v in found.items()], tx.needs_login(h).alias("needs_login"))
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?i)\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b'))) AS emails, len(list_distinct(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b'))) AS addresses FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"len(list_distinct(regexp_extract_all(text, '(?i){p}'))) AS {k}" for k, p in tx.PATTERNS.items()) + " FROM documents")
 def text_patterns(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(tx.matches(t, "email")).cast("long").alias("emails"), F.size(tx.matches(t, "ip_address")).cast("long").alias("addresses"))
+    return table(spark, sf, "documents").select("doc_id", *[F.size(tx.matches(t, k)).cast("long").alias(k) for k in tx.PATTERNS])
 
 
 @query("""SELECT d.doc_id, l.n, d.lang FROM (SELECT doc_id, lang FROM documents) d LEFT JOIN (SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 20)) AS n FROM documents) l USING (doc_id)""")
@@ -645,11 +658,11 @@ def rank_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return trends.rank_agreement(table(spark, sf, "part"), "p_partkey", "p_retailprice").select(F.round("agreement", 6).alias("agreement"))
 
 
-@query("SELECT item_id, substr(sha256(text || '_0'), 1, 8) AS head FROM benchmark")
+@query("""WITH w AS (SELECT item_id, i * 8 + k AS place, ('0x' || substr(sha256(text || '_' || i), 8 * k + 1, 8))::BIGINT AS u FROM benchmark, range(3) a(i), range(8) b(k))
+       SELECT item_id, place::INT AS place, (u - CASE WHEN u >= 2147483648 THEN 4294967296 ELSE 0 END) / 2147483648 AS value, 384::INT AS size FROM w""")
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.get(inference.hash_embedding(F.col("text")), 0)
-    word = (first * float(2**31)).cast("long")
-    return table(spark, sf, "benchmark").select("item_id", F.lpad(F.lower(F.hex(F.when(word < 0, word + 2**32).otherwise(word))), 8, "0").alias("head"))
+    v = table(spark, sf, "benchmark").select("item_id", inference.hash_embedding(F.col("text")).alias("v"))
+    return v.select("item_id", F.posexplode(F.slice("v", 1, 24)).alias("place", "value"), F.size("v").alias("size"))
 
 
 def _explored(spark: SparkSession, sf: str) -> DataFrame:
