@@ -126,7 +126,7 @@ def map_changes(old: Column, new: Column) -> Column:
 
 
 def discovered_parents(crawled: DataFrame, links: DataFrame) -> DataFrame:
-    """(url, parent): the most recently crawled page (url, at) before a page that links (src, dst) to it; one join on each side."""
+    """(url, parent): the most recently crawled page (url, at) before a page that links (src, dst) to it, the larger url on a tie; one join on each side."""
     seen = links.join(crawled.select(F.col("url").alias("src"), F.col("at").alias("src_at")), "src")
     met = seen.join(crawled.select(F.col("url").alias("dst"), "at"), "dst").where("src_at < at")
-    return met.groupBy(F.col("dst").alias("url")).agg(F.max_by("src", "src_at").alias("parent"))
+    return met.groupBy(F.col("dst").alias("url")).agg(F.max_by("src", F.struct("src_at", "src")).alias("parent"))

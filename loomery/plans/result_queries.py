@@ -89,7 +89,7 @@ def parameter_changes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "key", "v.old", "v.new")
 
 
-@query("WITH c AS (SELECT c_custkey AS url, (c_custkey * 7919) % 10007 AS at FROM customer), l AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders) SELECT b.url, max_by(a.url, a.at) AS parent FROM l JOIN c a ON a.url = l.src JOIN c b ON b.url = l.dst WHERE a.at < b.at GROUP BY 1")
+@query("WITH c AS (SELECT c_custkey AS url, (c_custkey * 7919) % 10007 AS at FROM customer), l AS (SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders) SELECT b.url, max_by(a.url, a.at * 1000000000 + a.url) AS parent FROM l JOIN c a ON a.url = l.src JOIN c b ON b.url = l.dst WHERE a.at < b.at GROUP BY 1")
 def discovered_parents(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     customers = table(spark, sf, "customer")
