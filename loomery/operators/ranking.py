@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.functions.names import fresh
 from loomery.session import durable
 
 
@@ -18,18 +19,20 @@ def running_totals(df: DataFrame, order: Sequence[str], amount: str, into: str =
     before each range, one row for each, are added to the totals within it.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
-    sums = ranged.groupBy("__range").agg(F.sum(amount).alias("__sum"))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__range", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    part, start = fresh([*df.columns, into], "range", "start")
+    ranged = durable(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()))
+    sums = ranged.groupBy(part).agg(F.sum(amount).alias("sum"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias(start))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = ranged.withColumn(into, F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return own.join(F.broadcast(starts), "__range").withColumn(into, F.col(into) + F.col("__start")).drop("__range", "__start")
+    return own.join(F.broadcast(starts), part).withColumn(into, F.col(into) + F.col(start)).drop(part, start)
 
 
 def positions(df: DataFrame, order: Sequence[str], into: str = "position") -> DataFrame:
     """Add ``into``: 0 for the first row by ``order``, which has to tell all rows apart, and so on."""
-    return running_totals(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", into).drop("__one")
+    (one,) = fresh([*df.columns, into], "one")
+    return running_totals(df.withColumn(one, F.lit(1).cast("long")), order, one, into).drop(one)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
