@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomery.llm.chat_formatting import CONTROLS, ESCAPE
+from loomery.llm.license_scans import NOTICES, PHRASES, split_words
 from loomery.llm.quality_rules import RULES, subsets
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,6 +107,54 @@ f AS (SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, '') AS items, round(similarity, 6) AS similarity FROM documents LEFT JOIN f USING (doc_id)
 """
 
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_PLAIN = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+#: Every block of every text meets every template of its class; phrases are looked for at every word.
+LICENSES = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+t(number, label, size, own, needs, threshold, phrase) AS (VALUES {", ".join(f"({n}, '{t.label}', {t.size}, {_list(t.words)}, '{' '.join(split_words(t.needs))}', {t.threshold}, {t.phrase})" for n, t in enumerate(PHRASES + NOTICES))}),
+b AS (SELECT r, size, w[k * size + 1:(k + 2) * size] AS w FROM (SELECT r, w, size, unnest(range(0, (len(w) - 1) // size + 1)) AS k FROM d, (SELECT DISTINCT size FROM t) WHERE len(w) > 0)),
+m AS (SELECT r, label, len(list_intersect(list_distinct(own), w)) / len(list_distinct(own)) AS containment, threshold FROM b JOIN t USING (size) WHERE NOT phrase AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || needs || ' ')),
+p AS (SELECT r, label, s FROM (SELECT r, w, unnest(range(0, len(w))) AS s FROM d), t WHERE phrase AND w[s + 1] = own[1] AND w[s + 1:s + len(own)] = own),
+a AS (SELECT r, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY r),
+f AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score FROM (SELECT r, label, containment FROM m WHERE containment >= threshold - 1e-9 UNION ALL SELECT r, label, 1.0 FROM p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN a USING (r) LEFT JOIN f USING (r)
+"""
+
+#: crc32 by the bitwise definition, for each different word once.
+RESAMPLING = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(w) AS word FROM (SELECT {_PLAIN} AS w FROM benchmark)),
+h AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)), tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN h USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN h USING (word) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM h) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+x AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN h USING (word) JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT doc_id, r, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (r)),
+z AS (SELECT doc_id, r, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM y),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN k USING (r)
+"""
+
+#: Every order is played through on every document.
+AUDIT = """
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, r, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+o AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+e AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM e a JOIN e b ON b.i <> a.i JOIN e c ON c.i NOT IN (a.i, b.i) JOIN e d ON d.i NOT IN (a.i, b.i, c.i) JOIN e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+q AS (SELECT part, fails, good, toxic, n, array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, p, i AS step, fails[p[i]] AS fail, list_bool_or(list_concat([false], list_transform(p[1:i - 1], lambda k: fails[k]))) AS earlier, len(list_filter(fails, lambda x: x)) AS n_fails FROM o, p, e),
+s AS (SELECT part, filter_order, step, any_value(p[step]) AS own, coalesce(sum(n) FILTER (NOT fail AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT earlier), 0) AS removed, coalesce(sum(n) FILTER (fail AND earlier), 0) AS redundant,
+  coalesce(sum(n) FILTER (fail AND n_fails = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (fail AND NOT earlier AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fail AND NOT earlier AND toxic), 0) AS toxic_lost FROM q GROUP BY 1, 2, 3)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM s
+"""
+
 ORACLES = {
     "op4_chat_formatting": CHATS,
     "op5_decontamination": DECONTAMINATION,
@@ -113,4 +162,7 @@ ORACLES = {
     "op7_quality_rules": QUALITY,
     "op8_near_dedup": NEAR_DEDUP,
     "op9_url_filters": URL_FILTERS,
+    "op11_license_scans": LICENSES,
+    "op12_importance_resampling": RESAMPLING,
+    "op13_filter_audit": AUDIT,
 }

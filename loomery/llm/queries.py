@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import chat_formatting, decontamination, line_dedup, near_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
+from loomery.llm import chat_formatting, decontamination, filter_audit, importance_resampling, license_scans, line_dedup, near_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from loomery.llm.oracles import ORACLES
 from loomery.session import table
 
@@ -75,6 +75,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_secret_scans, op4_chat_formatting, op5_decontamination, op6_line_dedup, op7_quality_rules, op8_near_dedup, op9_url_filters, op10_token_counts)}
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resampling.resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_secret_scans, op4_chat_formatting, op5_decontamination, op6_line_dedup, op7_quality_rules, op8_near_dedup, op9_url_filters, op10_token_counts, op11_license_scans, op12_importance_resampling, op13_filter_audit)}
 
 __all__ = ["ORACLES", "QUERIES"]
