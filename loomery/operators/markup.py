@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomery.functions.markup import FIELDS, read_markup
-from loomery.session import importable
+from loomery.session import durable, importable
 
 #: Elements of a page that descendants are joined in at a time.
 BLOCK = 1024
@@ -33,9 +33,12 @@ _KINDS = {"tag": "string", "attributes": "map<string,string>"}
 PLACE = ("pre", "last", "parent", "pos")
 
 
-def element_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+def element_table(pages: DataFrame, key: str, html: str = "html", keep: bool = True) -> DataFrame:
     """(key, the fields of ``FIELDS``, classes, text, solid): all elements of all pages.
 
+    The table is kept in the cluster's folder, as selections read it many times; without
+    ``keep`` every use reads the pages again.
+
     ``text`` and ``solid`` are set in a page's own row (pre 0, tag ``#page``); ``solid``
     has the white space around every run of characters taken off.
     """
@@ -60,7 +63,8 @@ def element_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     found = given.mapInArrow(run, schema)
     classes = F.filter(F.split(F.coalesce(F.col("attributes")["class"], F.lit("")), r"\s+"), lambda c: c != "")
-    return found.withColumn("classes", classes).withColumnRenamed("key", key)
+    out = found.withColumn("classes", classes).withColumnRenamed("key", key)
+    return durable(out) if keep else out
 
 
 @dataclass(frozen=True)
@@ -152,14 +156,15 @@ def select(nodes: DataFrame, key: str, steps: str | Sequence[Step], origins: Dat
         if step.place == 0:
             able = able.join(_last_of_kind(nodes, key, step.tag), [key, "parent", "pos"], "left_semi")
         able = able.select(key, *PLACE)
+        # Equal names only in using-joins: both sides may stem from one table.
         if step.axis == "child":
-            met = here.join(able, [able[key] == here[key], able["parent"] == here["c_pre"]]).drop(able[key])
+            met = here.withColumn("parent", F.col("c_pre")).join(able, [key, "parent"])
         elif step.axis == "descendant":
             met = descendants(here, able, key)
         elif step.axis == "parent":
-            met = here.join(able, [able[key] == here[key], able["pre"] == here["c_parent"]]).drop(able[key])
+            met = here.withColumn("pre", F.col("c_parent")).join(able, [key, "pre"])
         elif step.axis == "following":
-            met = here.join(able, [able[key] == here[key], able["parent"] == here["c_parent"], able["pos"] > here["c_pos"]]).drop(able[key])
+            met = here.withColumn("parent", F.col("c_parent")).join(able, [key, "parent"]).where("pos > c_pos")
         else:
             up = able.toDF(key, *(f"a_{c}" for c in PLACE))
             met = descendants(up, here.withColumnRenamed("c_pre", "pre"), key, "a_pre", "a_last").select(key, "origin", *[F.col(f"a_{c}").alias(c) for c in PLACE])

@@ -56,7 +56,7 @@ def later_similar(nodes: DataFrame, containers: DataFrame, key: str) -> DataFram
     held = nodes.join(containers.select(key, "parent").distinct(), [key, "parent"], "left_semi")
     shapes = held.groupBy(key, "parent", _shape().alias("shape")).agg(F.array_sort(F.collect_list(F.struct("pos", "pre"))).alias("members"))
     own = containers.select(key, "parent", F.col("pre").alias("c_pre"), F.col("pos").alias("c_pos"), _shape().alias("c_shape"))
-    met = own.join(shapes, [own[key] == shapes[key], own["parent"] == shapes["parent"], F.col("c_shape.tag") == F.col("shape.tag")]).drop(shapes[key])
+    met = own.join(shapes, [key, "parent"]).where(F.col("c_shape.tag") == F.col("shape.tag"))
     met = met.where(structural_similarity(F.col("c_shape"), F.col("shape")) > ALIKE)
     met = met.withColumn("later", F.filter("members", lambda m: m["pos"] > F.col("c_pos"))).where("size(later) > 0")
     each = F.transform(F.slice("later", 1, 9), lambda m: F.struct(m["pre"].alias("pre"), F.col("shape").alias("shape")))
