@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from loomery.operators.markup import css_selector, descendants
 from loomery.operators.page_fields import structural_similarity
+from loomery.session import durable
 
 CONTAINERS = ("div", "article", "section", "li")
 #: Siblings or elements are similar above this, and a pattern has so many of them at least.
@@ -138,7 +139,7 @@ def product_patterns(nodes: DataFrame, key: str) -> DataFrame:
     own = F.array(F.struct(F.col("c_pre").alias("pre"), F.col("c_shape").alias("shape")))
     # Similar siblings come first, however many; only then the others.
     five = F.slice(F.concat(own, F.coalesce("firsts", none), others), 1, 5)
-    groups = joined.select(key, "c_pre", "selector", repeats.alias("repeats"), five.alias("five")).where(F.col("repeats") >= LEAST)
+    groups = durable(joined.select(key, "c_pre", "selector", repeats.alias("repeats"), five.alias("five")).where(F.col("repeats") >= LEAST))
     members = groups.select(key, F.explode(F.transform("five", lambda x: x["pre"])).alias("pre")).distinct()
     marks = {"price": marked(PRICED), "name": marked(NAMED), "image": F.col("tag") == "img"}
     inside = parts_inside(nodes, nodes.join(members, [key, "pre"], "left_semi"), key, marks).withColumnRenamed("c_pre", "pre")
