@@ -28,8 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are cut out; a document of which nothing is left goes."""
-    stripped = line_dedup.dedup_lines(docs)
-    kept = stripped.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    lines, removed = fresh(docs.columns, "n_lines", "n_removed")
+    stripped = line_dedup.dedup_lines(docs, names=(lines, removed))
+    kept = stripped.where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

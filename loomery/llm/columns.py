@@ -39,11 +39,11 @@ def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
 def map_texts(docs: DataFrame, keep: list[str], text: str, new: dict[str, str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``docs`` by Arrow batches: ``run`` gets the kept columns and, last, the text, and returns the kept columns and the ``new`` ones.
 
-    Kept columns travel under names by position, so that no name of theirs can clash
-    or be read as a path to a field.
+    All columns travel under names by position (``kept_0``, ..., ``new_0``, ...), so that
+    no name can clash or be read as a path to a field.
     """
     importable(docs.sparkSession)
     places = [f"kept_{n}" for n in range(len(keep))]
     given = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, places, strict=True)], F.col(f"`{text}`").cast("string").alias("kept_text"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"`{c}` {kind}" for c, kind in new.items())])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"new_{n} {kind}" for n, kind in enumerate(new.values()))])
     return given.mapInArrow(run, schema).toDF(*keep, *new)

@@ -107,7 +107,7 @@ def bucket_counts(docs: DataFrame, depth: int = 1, buckets: int = BUCKETS, text:
             for hashed, runs, _ in feature_runs(batch.column(0), depth, buckets)[1]:
                 counts += np.bincount(hashed, np.bincount(runs, minlength=len(hashed)), buckets).astype(np.int64)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["new_0", "new_1"])
 
     return map_texts(docs, [], text, {"bucket": "long", "n": "long"}, run).groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -134,7 +134,7 @@ def weigh(docs: DataFrame, gains: list[int], depth: int = 1, text: str = "text")
                 weights += np.diff(np.cumsum(scattered)[bounds])
                 features += np.diff(np.cumsum(present)[bounds])
             new = [pa.array(x) for x in (np.diff(bounds), features, weights)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*batch.schema.names[: len(keep)], "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*batch.schema.names[: len(keep)], "new_0", "new_1", "new_2"])
 
     return map_texts(docs, keep, text, {"n_words": "long", "n_features": "long", "weight": "long"}, run)
 

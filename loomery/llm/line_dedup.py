@@ -168,23 +168,25 @@ def _strip(text: str | None, runs: list[dict] | None) -> tuple[str | None, int,
     return ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text), len(solid), len(gone)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 40, text: str = "text") -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from ``text``, plus n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, min_words: int = 40, text: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with later copies of repeated line runs deleted from ``text``, plus the numbers of lines and of removed ones under ``names``."""
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if not named(c, "n_lines", "n_removed")]
+    keep = [c for c in docs.columns if not named(c, *names)]
     hashed, cut = fresh(keep, "text_hash", "runs")
     found = repeated_runs(docs, min_words, text)
-    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(text).alias(hashed)).alias("a")
+    left = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(f"`{text}`").alias(hashed)).alias("a")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"a.{hashed}") == F.col("b.text_hash"))
     joined = left.join(found.alias("b"), same, "left").select(*[F.col(f"a.`{c}`") for c in keep], F.col("b.runs").alias(cut))
+    # Names by position: those of the user may clash or be read as paths to fields.
+    joined = joined.toDF(*(f"kept_{n}" for n in range(len(keep))), "runs")
     at = keep.index(text)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "n_lines int, n_removed int"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]), "n_lines int, n_removed int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [_strip(t, r) for t, r in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True)]
             cols = [*batch.columns[: len(keep)], pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())]
             cols[at] = pa.array([d[0] for d in done], batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[: len(keep)], "n_lines", "n_removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).toDF(*keep, *names)

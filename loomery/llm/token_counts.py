@@ -21,10 +21,8 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from loomery.llm.columns import named
-from loomery.session import importable
+from loomery.llm.columns import map_texts, named
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
@@ -99,15 +97,13 @@ def count_text(counter: PieceCounter, text: str | None) -> tuple[int, int]:
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` and ``n_words``; the text column itself is dropped. ``path`` must be readable on executors."""
-    importable(docs.sparkSession)
     keep = [c for c in docs.columns if not named(c, text, "n_tokens", "n_words")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "n_tokens long", "n_words long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(path)
         for batch in batches:
             counts = [count_text(counter, t) for t in batch.column(len(keep)).to_pylist()]
             new = [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, "n_tokens", "n_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*batch.schema.names[: len(keep)], "new_0", "new_1"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string")).mapInArrow(run, schema)
+    return map_texts(docs, keep, text, {"n_tokens": "long", "n_words": "long"}, run)

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.columns import bind, named
-from loomery.session import durable, importable
+from loomery.llm.columns import bind, map_texts, named
+from loomery.session import durable
 
 NEUTRAL, INSULT, SLUR, DOUBTFUL, THREAT, TARGET, NEGATION, REPORT, BREAK = TAGS = range(9)
 #: Added to a tag whose word a comma or colon follows, and to one that ends its clause.
@@ -220,16 +220,14 @@ def seed_lexicon() -> dict[str, int]:
 
 def _profiles(docs: DataFrame, lexicon: dict[str, int], keep: list[str]) -> DataFrame:
     """Columns ``keep`` of docs with each text's profile."""
-    importable(docs.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), "profile array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(lexicon)
         for batch in batches:
             found = [list(text_profile(tagger, t)) for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.int32()))], names=[*keep, "profile"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names[: len(keep)], "new_0"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_texts(docs, keep, "text", {"profile": "array<int>"}, run)
 
 
 def fit_weights(cells: list[tuple[tuple[int, ...], float, float]], rounds: int = 40, prior_strength: float = 0.5) -> tuple[float, tuple[tuple[float, ...], ...]]:
@@ -315,9 +313,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Toxi
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Add the score and the prediction under ``names``; the text stays only if asked for."""
-    importable(docs.sparkSession)
     keep = [c for c in docs.columns if not named(c, *names) and (keep_text or not named(c, "text"))]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema), f"`{names[0]}` double, `{names[1]}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, memory = Tagger(model.lexicon), {}
@@ -329,6 +325,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep_text: bool = Fals
                     memory[profile] = model.score(profile)
                 scores.append(memory[profile])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=[*batch.schema.names[: len(keep)], "new_0", "new_1"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_texts(docs, keep, "text", {names[0]: "double", names[1]: "int"}, run)

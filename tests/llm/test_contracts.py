@@ -1,6 +1,7 @@
 """Queries with a contract, against plain brute force over the smallest tables and edge rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -219,17 +220,14 @@ def test_chats(spark, sf):
 
 
 def test_escape_is_reversible_and_breaks_controls():
-    from hypothesis import given
-    from hypothesis import strategies as st
-
-    @given(st.lists(st.sampled_from(["␛", "<s>", "</s>", "[INST]", "[/INST]", "[", "<", "s>", "x", "<<SYS>>", "<|end|>"])).map("".join))
-    def check(text):
+    rng = random.Random(7)
+    parts = ["␛", "<s>", "</s>", "[INST]", "[/INST]", "[", "<", "s>", "x", "<<SYS>>", "<|end|>"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randrange(9)))
         coded = chat_formatting.escape(text)
         assert chat_formatting.unescape(coded) == text
         assert not any(c in coded for c in chat_formatting.CONTROLS)
 
-    check()
-
 
 def test_token_counts_equal_unigram_model(docs):
     from tokenizers import Tokenizer

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomery.llm import chat_formatting, columns, line_dedup, near_dedup, packing, quality_rules, queries, token_counts, url_filters
+from loomery.llm import chat_formatting, columns, line_dedup, near_dedup, packing, quality_rules, queries, token_counts, toxicity, url_filters
 
 
 def test_names_ignore_case():
@@ -101,3 +101,27 @@ def test_token_counts_replace_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "two words", 9, 9)], "doc_id long, text string, n_words int, N_Tokens int")
     out = token_counts.count_tokens(docs, queries.PIECES)
     assert out.columns == ["doc_id", "n_tokens", "n_words"] and out.first().n_words == 2
+
+
+def test_dotted_and_inner_names_pass_through(spark):
+    """Names that hold dots, or that operators use inside, stay as they are."""
+    schema = "doc_id long, text string, `a.b` int, `__text` string, kept_0 int, new_0 int, runs string, text_hash string"
+    rows = [(1, "one two", 5, "t", 7, 8, "r", "h"), (2, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    model = toxicity.ToxicityModel(toxicity.seed_lexicon(), *toxicity.fit_weights([]))
+    outs = [
+        toxicity.score_toxicity(docs, model, keep_text=True, names=("x.score", "Said")), line_dedup.dedup_lines(docs, names=("n.l", "n_r")),
+        token_counts.count_tokens(docs, queries.PIECES), near_dedup.drop_near_duplicates(docs),
+    ]
+    for out in outs:
+        (first,) = [r for r in out.collect() if r["doc_id"] == 1]
+        assert [first[c] for c in others] == [5, "t", 7, 8, "r", "h"]
+    assert "x.score" in outs[0].columns and "n.l" in outs[1].columns
+
+
+def test_pipeline_keeps_counts_of_the_user(spark, sf):
+    corpus_pipeline = __import__("pytest").importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "a line\nanother", 77, 78)], "doc_id long, text string, n_lines int, n_removed int").withColumn("n_chars", F.length("text").cast("long"))
+    (row,) = corpus_pipeline.delete_repeated_lines(spark, docs, sf).collect()
+    assert (row.n_lines, row.n_removed) == (77, 78)
