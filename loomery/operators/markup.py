@@ -269,9 +269,17 @@ def absolute_paths(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return steps.select(key, "pre", F.array_join(F.transform("steps", lambda s: s["part"]), "").alias("path"))
 
 
-def class_texts(pages: DataFrame, key: str, wanted: Mapping[str, Sequence[str]], html: str = "html") -> DataFrame:
+def class_texts(nodes: DataFrame, key: str, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
     """(key, field, pre, text): whole texts of the elements that have a class of a field, in any nesting; empty ones are left out."""
-    nodes = element_table(pages, key, html)
     fields = F.array_compact(F.array(*[F.when(F.arrays_overlap("classes", F.array(*map(F.lit, names))), F.lit(field)) for field, names in wanted.items()]))
     rows = with_text(nodes.withColumn("fields", fields).where("size(fields) > 0"), nodes, key)
     return rows.where("text <> ''").select(key, F.explode("fields").alias("field"), "pre", "text")
+
+
+def parts_inside(nodes: DataFrame, contexts: DataFrame, key: str, marks: Mapping[str, Column]) -> DataFrame:
+    """(key, c_pre, and for each mark its first element's number and n_mark, how many there are): what lies inside each context."""
+    flags = nodes.select(key, "pre", *[m.alias(name) for name, m in marks.items()])
+    flags = flags.where(reduce(lambda a, b: a | b, (F.col(name) for name in marks)))
+    met = descendants(contexts.select(key, F.col("pre").alias("c_pre"), F.col("last").alias("c_last")).distinct(), flags, key)
+    sums = [x for name in marks for x in (F.min(F.when(F.col(name), F.col("pre"))).alias(name), F.count_if(name).alias(f"n_{name}"))]
+    return met.groupBy(key, "c_pre").agg(*sums)

@@ -1,8 +1,9 @@
 """Fields of pages by class names and attributes: contacts, listing cards, pagination, scrolling, RDFa, scores.
 
-An element is found by its opening tag; its text runs to its next tag. Cards run from
-one opening tag of a card class to the next. Everything is a column expression or one
-explode, so pages stay where they lie.
+Contacts, headlines, cards and RDFa are read from the table of elements, so texts are
+those of whole elements and comments and scripts hide what they hold. Pagination,
+endless scrolling and the scores are column expressions over the markup itself, in
+which an element is found by its opening tag and its text runs to its next tag.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomery.functions import text as tx
 from loomery.functions import urls
+from loomery.operators import markup
 
 #: Classes and hosts that mark contacts.
 EMAIL_CLASSES, PHONE_CLASSES = ("email", "e-mail"), ("phone", "telephone", "tel")
@@ -51,36 +54,72 @@ def attributes_of(html: Column, name: str, start: str = "") -> Column:
     return F.regexp_extract_all(html, F.lit(rf"""<[^>]*\s{re.escape(name)}\s*=\s*["']{re.escape(start)}([^"']+)["']"""), F.lit(1))
 
 
-def contacts(html: Column) -> Column:
-    """struct(emails, phones, addresses, social_links, contact_forms): distinct, sorted; from links, attributes, classes and visible text."""
-    visible = tx.without_scripts(html)
-    mails = F.concat(F.transform(attributes_of(html, "href", "mailto:"), lambda x: F.substring_index(x, "?", 1)), attributes_of(html, "data-email"), texts_of(html, EMAIL_CLASSES), F.regexp_extract_all(visible, F.lit(tx.PATTERNS["email"]), F.lit(0)))
-    phones = F.concat(attributes_of(html, "href", "tel:"), attributes_of(html, "data-phone"), attributes_of(html, "data-tel"), texts_of(html, PHONE_CLASSES), *[F.regexp_extract_all(visible, F.lit(p), F.lit(0)) for p in PHONES])
-    social = F.filter(tx.hrefs(html), lambda x: tx.has_any(x, SOCIAL_HOSTS))
-    forms = F.size(F.regexp_extract_all(html, F.lit(r"""<form\b[^>]*\b(?:action|id)\s*=\s*["'][^"']*contact[^"']*["'][^>]*>"""), F.lit(0)))
-    tidy = lambda xs: F.array_sort(F.array_distinct(xs))
-    return F.struct(tidy(mails).alias("emails"), tidy(phones).alias("phones"), tidy(texts_of(html, ADDRESS_CLASSES)).alias("addresses"), tidy(social).alias("social_links"), forms.alias("contact_forms"))
+def _attribute(name: str, start: str = "") -> Column:
+    """The attribute's value without ``start``, or null where it begins otherwise or is empty."""
+    value = F.col("attributes")[name]
+    return F.when(value.startswith(start), F.nullif(F.substring(value, len(start) + 1, 1 << 30), F.lit("")))
 
 
-def headline_contact(html: Column) -> Column:
-    """struct(title, phone, email): first heading, else the page title; first telephone and mail link."""
-    first = lambda xs: F.get(xs, 0)
-    heading = F.nullif(F.trim(F.regexp_extract(html, r"(?is)<h1\b[^>]*>([^<]*)", 1)), F.lit(""))
-    return F.struct(F.coalesce(heading, F.nullif(tx.title(html), F.lit(""))).alias("title"), first(attributes_of(html, "href", "tel:")).alias("phone"), first(attributes_of(html, "href", "mailto:")).alias("email"))
+def _of_class(classes: Sequence[str]) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, classes)))
+
+
+def contacts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, emails, phones, addresses, social_links, contact_forms): distinct, sorted; from links, attributes, classes and visible text."""
+    nodes = markup.element_table(pages, key, html)
+    anchors = F.when(F.col("tag") == "a", _attribute("href"))
+    form = (F.col("tag") == "form") & (F.coalesce(_attribute("action"), F.lit("")).contains("contact") | F.coalesce(_attribute("id"), F.lit("")).contains("contact"))
+    stated = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for kind, v in (
+            ("emails", F.substring_index(_attribute("href", "mailto:"), "?", 1)), ("emails", _attribute("data-email")), ("phones", _attribute("href", "tel:")),
+            ("phones", _attribute("data-phone")), ("phones", _attribute("data-tel")), ("social_links", F.when(tx.has_any(anchors, SOCIAL_HOSTS), anchors)), ("forms", F.when(form, F.col("pre").cast("string"))),
+        )]
+    )
+    texts = markup.class_texts(nodes, key, {"emails": EMAIL_CLASSES, "phones": PHONE_CLASSES, "addresses": ADDRESS_CLASSES})
+    visible = tx.without_scripts(F.col(f"`{html}`"))
+    seen = []
+    for kind, pattern in (("emails", tx.PATTERNS["email"]), *(("phones", p) for p in PHONES)):
+        seen.append(pages.select(F.col(key), F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(visible, F.lit(pattern), F.lit(0))).alias("value")))
+    found = nodes.select(key, F.explode(stated).alias("x")).select(key, "x.*").unionByName(texts.select(key, F.col("field").alias("kind"), F.col("text").alias("value")))
+    for more in seen:
+        found = found.unionByName(more)
+    kinds = ("emails", "phones", "addresses", "social_links")
+    lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds]
+    summed = found.where("value <> ''").groupBy(key).agg(*lists, F.count_if(F.col("kind") == "forms").alias("contact_forms"))
+    none = F.array().cast("array<string>")
+    return pages.select(key).join(summed, key, "left").select(key, *[F.coalesce(k, none).alias(k) for k in kinds], F.coalesce("contact_forms", F.lit(0)).cast("int").alias("contact_forms"))
+
+
+def headline_contacts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, title, phone, email): first heading, else the page title, as whole texts; first telephone and mail link."""
+    nodes = markup.element_table(pages, key, html)
+    texts = markup.with_text(nodes.where("tag IN ('h1', 'title')"), nodes, key).where("text <> ''")
+    heads = texts.groupBy(key).agg(F.coalesce(F.min_by(F.when(F.col("tag") == "h1", F.col("text")), F.when(F.col("tag") == "h1", F.col("pre"))), F.min_by(F.when(F.col("tag") == "title", F.col("text")), F.when(F.col("tag") == "title", F.col("pre")))).alias("title"))
+    first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("pre")))
+    links = nodes.groupBy(key).agg(first(_attribute("href", "tel:")).alias("phone"), first(_attribute("href", "mailto:")).alias("email"))
+    return links.join(heads, key, "left").select(key, "title", "phone", "email")
 
 
 def cards(pages: DataFrame, key: str, classes: Sequence[str], fields: Mapping[str, Sequence[str]], html: str = "html", most: int = 50) -> DataFrame:
     """(key, pos, link, shown_at, one column per field): listing cards of one page, at most ``most`` in page order, as a selector table asks.
 
-    A field is the text of the first element of its classes within the card;
-    ``shown_at`` is the first datetime attribute. Shops, directories, news lists,
-    feeds and search results differ only in their classes.
+    A field is the whole text of the first element of its classes within the card;
+    ``link`` and ``shown_at`` are the first link target and datetime inside. Shops,
+    directories, news lists, feeds and search results differ only in their classes.
     """
-    parts = F.slice(F.split(F.col(html), _opening(classes)), 2, most)
-    rows = pages.select(key, F.posexplode(parts).alias("pos", "card"))
-    first = lambda xs: F.get(xs, 0)
-    found = {name: first(texts_of(F.col("card"), names)) for name, names in fields.items()}
-    return rows.select(key, "pos", first(tx.hrefs(F.col("card"))).alias("link"), first(attributes_of(F.col("card"), "datetime")).alias("shown_at"), *[c.alias(n) for n, c in found.items()])
+    nodes = markup.element_table(pages, key, html)
+    order = Window.partitionBy(key).orderBy("pre")
+    held = nodes.where(_of_class(classes)).withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < most)
+    marks = {"link": (F.col("tag") == "a") & _attribute("href").isNotNull(), "shown_at": _attribute("datetime").isNotNull(), **{f"field_{n}": _of_class(names) for n, names in enumerate(fields.values())}}
+    parts = markup.parts_inside(nodes, held, key, marks)
+    # One row for each part that a card has, with its text or attribute.
+    each = parts.select(key, "c_pre", F.explode(F.array(*[F.struct(F.lit(m).alias("part"), F.col(m).alias("pre")) for m in marks])).alias("x")).select(key, "c_pre", "x.*").where("pre IS NOT NULL")
+    known = markup.with_text(nodes.join(each.select(key, "pre").distinct(), [key, "pre"], "left_semi"), nodes, key).select(key, "pre", "text", _attribute("href").alias("href"), _attribute("datetime").alias("datetime"))
+    value = F.when(F.col("part") == "link", F.col("href")).when(F.col("part") == "shown_at", F.col("datetime")).otherwise(F.nullif("text", F.lit("")))
+    met = each.join(known, [key, "pre"]).withColumn("value", value)
+    of = lambda m: F.max(F.when(F.col("part") == m, F.col("value")))
+    wide = met.groupBy(key, F.col("c_pre").alias("pre")).agg(of("link").alias("link"), of("shown_at").alias("shown_at"), *[of(f"field_{n}").alias(name) for n, name in enumerate(fields)])
+    return held.select(key, "pre", F.col("place").alias("pos")).join(wide, [key, "pre"], "left").select(key, "pos", "link", "shown_at", *fields)
 
 
 def pagination(html: Column, url: Column) -> Column:
@@ -107,25 +146,20 @@ def endless(html: Column) -> Column:
 
 
 def rdfa(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, type, property, value): properties that follow each typeof element, up to the next one; content before text."""
-    opening = r"""<[a-zA-Z][a-zA-Z0-9]*\b[^>]*\btypeof\s*=\s*["'][^"']*["'][^>]*>"""
-    kinds = F.regexp_extract_all(F.col(html), F.lit(opening), F.lit(0))
-    bodies = F.slice(F.split(F.col(html), opening), F.lit(2), F.greatest(F.size(kinds), F.lit(1)))
-    rows = pages.select(key, F.posexplode(F.arrays_zip(kinds.alias("kind"), bodies.alias("body"))).alias("pos", "x"))
-    kind = F.substring_index(F.regexp_extract("x.kind", r"""\btypeof\s*=\s*["']([^"']*)["']""", 1), "/", -1)
-    marks = F.regexp_extract_all(F.col("x.body"), F.lit(r"""<[a-zA-Z][^>]*\bproperty\s*=\s*["'][^"']+["'][^>]*>[^<]*"""), F.lit(0))
-    each = rows.select(key, "pos", kind.alias("type"), F.explode(marks).alias("m"))
-    content = F.nullif(F.regexp_extract("m", r"""\bcontent\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-    value = F.coalesce(content, F.nullif(F.trim(F.regexp_extract("m", ">([^<]*)$", 1)), F.lit("")))
-    return each.select(key, "pos", "type", F.regexp_extract("m", r"""\bproperty\s*=\s*["']([^"']+)["']""", 1).alias("property"), value.alias("value")).where("value IS NOT NULL")
+    """(key, pos, type, property, value): every property inside each typeof element; content before the whole text; empty ones are left out."""
+    nodes = markup.element_table(pages, key, html)
+    order = Window.partitionBy(key).orderBy("pre")
+    typed = nodes.where(F.col("attributes")["typeof"].isNotNull()).select(key, F.col("pre").alias("c_pre"), F.col("last").alias("c_last"), F.substring_index(F.col("attributes")["typeof"], "/", -1).alias("type"), (F.row_number().over(order) - 1).alias("pos"))
+    marked = nodes.where(F.length(F.col("attributes")["property"]) > 0)
+    texts = markup.with_text(marked, nodes, key).select(key, "pre", F.col("attributes")["property"].alias("property"), F.coalesce(_attribute("content"), F.nullif("solid", F.lit(""))).alias("value"))
+    return markup.descendants(typed, texts, key).where("value IS NOT NULL").select(key, "pos", "type", "property", "value")
 
 
 def element_counts(pages: DataFrame, key: str, html: str = "html", least: int = 3) -> DataFrame:
-    """(key, selector, n): tag and classes that ``least`` elements of a page share: repeating structures."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"""<[a-zA-Z][a-zA-Z0-9]*\b[^>]*\bclass\s*=\s*["'][^"']+["'][^>]*>"""), F.lit(0))
-    each = pages.select(key, F.explode(tags).alias("tag"))
-    names = F.array_join(F.array_sort(F.split(F.trim(F.regexp_extract("tag", r"""\bclass\s*=\s*["']([^"']+)["']""", 1)), r"\s+")), ".")
-    return each.select(key, F.concat(F.lower(F.regexp_extract("tag", "^<([a-zA-Z0-9]+)", 1)), F.lit("."), names).alias("selector")).groupBy(key, "selector").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """(key, selector, n): tag and classes that ``least`` elements of a page share."""
+    nodes = markup.element_table(pages, key, html, keep=False).where("size(classes) > 0")
+    selector = F.concat("tag", F.lit("."), F.array_join(F.array_sort("classes"), "."))
+    return nodes.groupBy(key, selector.alias("selector")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def _count(text: Column, part: str) -> Column:

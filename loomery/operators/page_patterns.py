@@ -14,14 +14,14 @@ the whole page, an element counts as another one by its place, not by its conten
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.operators.markup import css_selector, descendants
+from loomery.operators.markup import css_selector, descendants, parts_inside
 from loomery.operators.page_fields import structural_similarity
 from loomery.session import durable
 
@@ -81,15 +81,6 @@ def structure_confidence(consistency: Column, repeats: Column) -> Column:
     return F.least(0.5 + consistency * 0.3 + F.least(repeats / 10, F.lit(0.2)), F.lit(1.0))
 
 
-def parts_inside(nodes: DataFrame, contexts: DataFrame, key: str, marks: Mapping[str, Column]) -> DataFrame:
-    """(key, c_pre, and for each mark its first element's number and n_mark, how many there are): what lies inside each context."""
-    flags = nodes.select(key, "pre", *[m.alias(name) for name, m in marks.items()])
-    flags = flags.where(reduce(lambda a, b: a | b, (F.col(name) for name in marks)))
-    met = descendants(contexts.select(key, F.col("pre").alias("c_pre"), F.col("last").alias("c_last")).distinct(), flags, key)
-    sums = [x for name in marks for x in (F.min(F.when(F.col(name), F.col("pre"))).alias(name), F.count_if(name).alias(f"n_{name}"))]
-    return met.groupBy(key, "c_pre").agg(*sums)
-
-
 def price_containers(nodes: DataFrame, key: str) -> DataFrame:
     """(key, price, container): for each priced element its nearest ancestor of whose next ten siblings two hold a price."""
     priced = nodes.where(marked(PRICED)).select(key, "pre")

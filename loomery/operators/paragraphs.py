@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.functions import text as tx
+from loomery.operators import markup
 
 TOKEN = re.compile(r"\b\w\w+\b")
 #: Words that say little; a parameter of the functions.
@@ -59,13 +59,14 @@ def greedy(vectors: Sequence[dict[str, float]], least: float) -> list[tuple[list
 
 
 def clusters(pages: DataFrame, key: str, html: str = "html", least_words: int = 10, least: float = 0.3, k: int = 3, query: str | None = None, stop: Sequence[str] = tuple(STOP)) -> DataFrame:
-    """(key, place, score, members, text): the ``k`` best clusters of each page's paragraphs of ``least_words`` words or more.
+    """(key, place, score, members, text): the ``k`` best clusters of each page's paragraphs of ``least_words`` words or more, each a whole element.
 
     With a ``query``, clusters whose text is less similar to it than ``least`` go, and the
     similarity is their score. Ties keep page order; a page without such paragraphs has no row.
     """
-    found = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(p|div|section|article)\b[^>]*>([^<]*)"), F.lit(2))
-    texts = F.filter(F.transform(found, lambda x: tx.without_scripts(x)), lambda x: F.size(F.split(x, r"\s+")) >= least_words)
+    nodes = markup.element_table(pages, key, html)
+    blocks = markup.with_text(nodes.where("tag IN ('p', 'div', 'section', 'article')"), nodes, key).where(F.size(F.split("text", r"\s+")) >= least_words)
+    texts = blocks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]).alias("texts"))
     kind, skip = pages.schema[key].dataType.simpleString(), frozenset(stop)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,5 +82,5 @@ def clusters(pages: DataFrame, key: str, html: str = "html", least_words: int =
                 rows += [(name, place, score, members, text) for place, (score, members, text) in enumerate(sorted(best, key=lambda x: -round(x[0], 12))[:k], 1)]
             yield pd.DataFrame(rows, columns=[key, "place", "score", "members", "text"])
 
-    given = pages.select(F.col(key).alias("key"), texts.alias("texts")).where(F.size("texts") > 0)
+    given = texts.select(F.col(key).alias("key"), "texts")
     return given.mapInPandas(run, f"`{key}` {kind}, place int, score double, members array<int>, text string")

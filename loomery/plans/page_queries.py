@@ -31,34 +31,43 @@ def built(spark: SparkSession, sf: str, *parts: Column | str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
 
 
+def spliced(spark: SparkSession, sf: str, *parts: Column | str) -> DataFrame:
+    """(page_id, url, html): the stored pages with ``parts`` before their article."""
+    extra = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, sf, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), F.concat(extra, F.lit("<article>"))).alias("html"))
+
+
 def when(test: Column, *parts: Column | str) -> Column:
     return F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'info' || page_id || '@site.org,sales' || page_id || '@site.org' ELSE 'sales' || page_id || '@site.org' END AS emails,
-    CASE page_id % 3 WHEN 0 THEN '+49 30 1234567' WHEN 1 THEN '555-123-4567' ELSE '' END AS phones, CASE WHEN page_id % 4 = 0 THEN 'Main Street ' || page_id ELSE '' END AS addresses,
-    CASE WHEN page_id % 5 = 0 THEN 'https://twitter.com/u' || page_id ELSE '' END AS social_links, (page_id % 2)::INT AS contact_forms FROM pages""")
+_SEEN = "regexp_replace(regexp_replace(html, '<!--.*?-->|<script>.*?</script>|<style>.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'g')"
+
+
+@query(f"""WITH t AS (SELECT page_id, {_SEEN} AS t FROM pages), l AS (SELECT page_id, regexp_extract_all(t, '{tx.PATTERNS["email"]}') AS mails, {" || ".join(f"regexp_extract_all(t, '{p}')" for p in page_fields.PHONES)} AS calls FROM t)
+SELECT page_id, array_to_string(list_sort(list_distinct(mails || ['sales' || page_id || '@site.org'] || CASE WHEN page_id % 2 = 0 THEN ['info' || page_id || '@site.org'] ELSE [] END)), ',') AS emails,
+    array_to_string(list_sort(list_distinct(calls || CASE page_id % 3 WHEN 0 THEN ['+49 30 1234567'] WHEN 1 THEN ['555-123-4567'] ELSE [] END)), ',') AS phones, CASE WHEN page_id % 4 = 0 THEN 'Main Street ' || page_id ELSE '' END AS addresses,
+    CASE WHEN page_id % 5 = 0 THEN 'https://twitter.com/u' || page_id ELSE '' END AS social_links, (page_id % 2)::INT AS contact_forms FROM l""")
 def page_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(
-        spark, sf, "<html><body>", when(i() % 2 == 0, '<a href="mailto:info', s(), '@site.org?subject=x">mail</a>'), "<p>write to sales", s(), "@site.org now</p>",
+    rows = spliced(
+        spark, sf, when(i() % 2 == 0, '<a href="mailto:info', s(), '@site.org?subject=x">mail</a>'), "<p>write to sales", s(), "@site.org now</p>", '<!-- <b class="phone">123</b> -->',
         F.when(i() % 3 == 0, '<a href="tel:+49 30 1234567">call</a>').when(i() % 3 == 1, "<p>or 555-123-4567</p>").otherwise(""),
-        when(i() % 4 == 0, '<div class="box address"> Main Street ', s(), " </div>"), when(i() % 5 == 0, '<a href="https://twitter.com/u', s(), '">t</a>'), when(i() % 2 == 1, '<form action="/contact/send"><input></form>'), "</body></html>",
+        when(i() % 4 == 0, '<div class="box address"><p> Main <b>Street</b> ', s(), " </p></div>"), when(i() % 5 == 0, '<a href="https://twitter.com/u', s(), '">t</a>'), when(i() % 2 == 1, '<form action="/contact/send"><input></form>'),
     )
-    found = rows.select("page_id", page_fields.contacts(F.col("html")).alias("c"))
-    return found.select("page_id", *[F.array_join(f"c.{k}", ",").alias(k) for k in ("emails", "phones", "addresses", "social_links")], "c.contact_forms")
+    return page_fields.contacts(rows, "page_id").select("page_id", *[F.array_join(k, ",").alias(k) for k in ("emails", "phones", "addresses", "social_links")], "contact_forms")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Head ' || page_id ELSE 'Title ' || page_id END AS title, CASE WHEN page_id % 3 = 0 THEN '030-' || page_id END AS phone, CASE WHEN page_id % 5 = 0 THEN 'a' || page_id || '@b.org' END AS email FROM pages")
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Head ' || page_id ELSE trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&amp;', '&'), E' \\n\\t') END AS title, CASE WHEN page_id % 3 = 0 THEN '030-' || page_id END AS phone, CASE WHEN page_id % 5 = 0 THEN 'a' || page_id || '@b.org' END AS email FROM pages""")
 def page_headlines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, "<title>Title ", s(), "</title>", when(i() % 2 == 0, "<h1> Head ", s(), " </h1>"), when(i() % 3 == 0, '<a href="tel:030-', s(), '">x</a>'), when(i() % 5 == 0, '<a href="mailto:a', s(), '@b.org">x</a>'))
-    return rows.select("page_id", page_fields.headline_contact(F.col("html")).alias("c")).select("page_id", "c.*")
+    rows = spliced(spark, sf, when(i() % 2 == 0, "<h1> Head <i>", s(), "</i> </h1>"), when(i() % 3 == 0, '<a href="tel:030-', s(), '">x</a>'), when(i() % 5 == 0, '<a href="mailto:a', s(), '@b.org">x</a>'), "<!-- <h1>not this</h1> -->")
+    return page_fields.headline_contacts(rows, "page_id")
 
 
 @query("""SELECT page_id, pos, CASE WHEN pos % 2 = 0 THEN '/p/' || page_id || '/' || pos END AS link, CASE WHEN page_id % 2 = 0 THEN '2024-01-0' || (pos + 1) END AS shown_at, 'Item ' || pos AS name, CASE WHEN pos <> 1 THEN '$' || (page_id + pos) END AS price
     FROM (SELECT page_id, unnest(range((page_id % 4)::BIGINT))::INT AS pos FROM pages)""")
 def page_cards(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda n: F.concat(F.lit('<li class="card product"><h3 class="name">Item '), F.lit(str(n)), F.lit("</h3>"), when(F.lit(n != 1), '<b class="price now">$', (i() + n).cast("string"), "</b>"), when(F.lit(n % 2 == 0), '<a href="/p/', s(), f'/{n}">go</a>'), when(i() % 2 == 0, f'<time datetime="2024-01-0{n + 1}">x</time>'), F.lit("</li>"))
-    rows = built(spark, sf, "<ul>", *[when(i() % 4 > n, one(n)) for n in range(3)], "</ul>")
+    one = lambda n: F.concat(F.lit('<li class="card product"><h3 class="name">Item '), F.lit(str(n)), F.lit("</h3>"), when(F.lit(n != 1), '<b class="price now"><i>$</i>', (i() + n).cast("string"), "</b>"), when(F.lit(n % 2 == 0), '<a href="/p/', s(), f'/{n}">go</a>'), when(i() % 2 == 0, f'<time datetime="2024-01-0{n + 1}">x</time>'), F.lit("</li>"))
+    rows = spliced(spark, sf, "<ul>", *[when(i() % 4 > n, one(n)) for n in range(3)], "</ul>")
     return page_fields.cards(rows, "page_id", ("product", "item"), {"name": ("name", "title"), "price": ("price",)})
 
 
@@ -81,13 +90,13 @@ def page_endless(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id, 0 AS pos, 'Person' AS type, 'name' AS property, 'N' || page_id AS value FROM pages UNION ALL SELECT page_id, 0, 'Person', 'age', '7' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 1, 'Place', 'city', 'C' || page_id FROM pages WHERE page_id % 3 = 0""")
 def page_rdfa(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, '<div typeof="http://schema.org/Person"><b property="name"> N', s(), " </b>", when(i() % 2 == 0, '<meta property="age" content="7">'), '<i property="empty"></i></div>', when(i() % 3 == 0, '<div typeof="Place"><span property="city">C', s(), "</span></div>"))
+    rows = spliced(spark, sf, '<div typeof="http://schema.org/Person"><b property="name"> N', s(), " </b>", when(i() % 2 == 0, '<meta property="age" content="7">'), '<i property="empty"></i></div>', when(i() % 3 == 0, '<div typeof="Place"><span property="city">C', s(), "</span></div>"))
     return page_fields.rdfa(rows, "page_id")
 
 
 @query("SELECT page_id, 'li.card.item' AS selector, 3 + page_id % 2 AS n FROM pages UNION ALL SELECT page_id, 'p.note', 3 FROM pages WHERE page_id % 3 = 0")
 def page_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, '<li class="item card">a</li><li class="card item">b</li><LI class="item  card">c</LI>', when(i() % 2 == 1, '<li class="card item">d</li>'), '<p class="note">1</p><p class="note">2</p>', when(i() % 3 == 0, '<p class="note">3</p>'))
+    rows = spliced(spark, sf, '<li class="item card">a</li><li class="card item">b</li><LI class="item  card">c</LI>', when(i() % 2 == 1, '<li class="card item">d</li>'), '<p class="note">1</p><p class="note">2</p>', when(i() % 3 == 0, '<p class="note">3</p>'))
     return page_fields.element_counts(rows, "page_id")
 
 

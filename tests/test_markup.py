@@ -143,7 +143,8 @@ def test_selectors_and_absolute_paths(spark):
 
 def test_texts_of_classes_are_whole(spark):
     html = '<div class="address box"><p>Main St</p> 5</div><b class="price"><i>$</i>5</b><!-- <b class="phone">123</b> --><script>"<b class=\'phone\'>9</b>"</script>'
-    got = markup.class_texts(spark.createDataFrame([(1, html)], "k long, html string"), "k", {"address": ["address"], "price": ["price"], "phone": ["phone"]}).orderBy("pre").collect()
+    nodes = markup.element_table(spark.createDataFrame([(1, html)], "k long, html string"), "k")
+    got = markup.class_texts(nodes, "k", {"address": ["address"], "price": ["price"], "phone": ["phone"]}).orderBy("pre").collect()
     assert [(r.field, r.text) for r in got] == [("address", "Main St 5"), ("price", "$5")]
 
 
