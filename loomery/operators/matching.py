@@ -1,7 +1,8 @@
 """Matching requests to the tools of a catalogue.
 
-A catalogue is a parameter of the job, as word lists are, so each match is a column
-expression over the requests and needs no join. Matches are arrays of struct(tool, score).
+A catalogue of keywords is a parameter of the job, as word lists are, so each of its
+matches is a column expression over the requests and needs no join; these matches are
+arrays of struct(tool, score). ``text_matches`` searches a catalogue that is a table.
 """
 
 from __future__ import annotations
@@ -10,6 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomery.operators import similarity
+from loomery.session import durable
 
 
 def _hits(low: Column, words: Sequence[str]) -> Column:
@@ -99,3 +104,39 @@ def faster_alternatives(profiles: DataFrame, others: DataFrame, below: float = 0
     theirs = profiles.select(F.col("tool").alias("other"), F.col("avg_seconds").alias("their"))
     met = others.join(mine, "tool").join(theirs, "other").where(F.col("their") < below * F.col("own"))
     return met.select("tool", "other", (F.col("own") - F.col("their")).alias("saved"))
+
+
+def text_matches(requests: DataFrame, request: str, catalogue: DataFrame, tool: str, k: int, least: float = 0.1, text: str = "text", words: str = r"\W+") -> DataFrame:
+    """(request, tool, score, place, touched): the ``k`` tools of a table whose texts are most like each request's, above a cosine of ``least``.
+
+    Weights are TF-IDF, fitted on the catalogue. An inverted index of its words is
+    searched with upper bounds. A word adds at most its request weight times its largest
+    weight in the catalogue; the words with the smallest bounds whose sum stays within
+    ``least`` can't make a match alone, so they fetch no tools. What the others add is a
+    tool's partial score; a tool that can't reach the k-th best partial score of its
+    request even with all the bounds left out goes before it is scored in full.
+    ``touched`` counts the tools that a request fetched. Exact; ties go by the tool's name.
+
+    Words are runs of letters, digits and underscores of two characters or more.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), words), lambda w: F.length(w) > 1)
+    index = durable(similarity.tf_idf(catalogue, tool, split(F.col(text))))
+    total = catalogue.agg(F.count("*").alias("tools"))
+    known = index.groupBy("word").agg(F.count("*").alias("df"), F.max("weight").alias("most")).join(F.broadcast(total))
+    counts = requests.select(F.col(request), F.explode(split(F.col(text))).alias("word")).groupBy(request, "word").agg(F.count("*").alias("tf"))
+    raw = counts.join(known, "word").withColumn("raw", F.col("tf") * (F.log((1 + F.col("tools")) / (1 + F.col("df"))) + 1))
+    whole = Window.partitionBy(request)
+    asked = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))).withColumn("bound", F.col("weight") * F.col("most"))
+    rising = whole.orderBy("bound", "word").rowsBetween(Window.unboundedPreceding, 0)
+    asked = durable(asked.withColumn("fetches", F.sum("bound").over(rising) > least - 1e-9).select(request, "word", "weight", "bound", "fetches"))
+    rest = asked.where("NOT fetches").groupBy(request).agg(F.sum("bound").alias("rest"))
+    held = index.select(tool, "word", F.col("weight").alias("own"))
+    partial = asked.where("fetches").join(held, "word").groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("partial"))
+    best = whole.orderBy(F.desc("partial"), tool)
+    met = durable(partial.withColumn("at", F.row_number().over(best)).withColumn("touched", F.count("*").over(whole)))
+    floor = met.where(F.col("at") == k).select(request, F.col("partial").alias("floor"))
+    able = met.join(rest, request, "left").join(floor, request, "left").where(F.col("partial") + F.coalesce("rest", F.lit(0.0)) >= F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(least)) - 1e-9)
+    late = asked.where("NOT fetches").join(able.select(request, tool), request).join(held, [tool, "word"]).groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("late"))
+    scored = able.join(late, [request, tool], "left").withColumn("score", F.col("partial") + F.coalesce("late", F.lit(0.0))).where(F.col("score") > least)
+    placed = scored.withColumn("place", F.row_number().over(whole.orderBy(F.desc(F.round("score", 12)), tool)))
+    return placed.where(F.col("place") <= k).select(request, tool, "score", "place", "touched")

@@ -11,8 +11,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-#: Not expressible in SQL; compared with plain Python in test_operators.py.
-BRUTE_FORCE = {"usage_clusters"}
+#: Not expressible in SQL; compared with plain Python in test_operators.py and test_lookups.py.
+BRUTE_FORCE = {"usage_clusters", "best_first_pages"}
 
 
 @pytest.fixture(scope="module")
