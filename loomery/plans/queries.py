@@ -377,10 +377,11 @@ def _marks_sql(text: str, marks: dict[str, tuple[str, ...]]) -> str:
 @query(f"""SELECT page_id, {_marks_sql("html", tx.FRAMEWORKS)} AS frameworks, {_marks_sql("lower(html)", tx.SECURITY)} AS security, {_marks_sql("lower(html)", tx.PROTECTION)} AS protection,
        regexp_matches(lower(html), 'login|sign in|log in|authentication required|access denied|unauthorized|signin|log-in|member|account|password') AS needs_login FROM pages""")
 def page_technology(spark: SparkSession, sf: str) -> DataFrame:
-    h = F.col("html")
-    low = F.lower(h)
+    # Lower case once for all words.
+    pages = table(spark, sf, "pages").select("page_id", "html", F.lower("html").alias("low"))
+    h, low = F.col("html"), F.col("low")
     found = {"frameworks": tx.labels(h, tx.FRAMEWORKS), "security": tx.labels(low, tx.SECURITY), "protection": tx.labels(low, tx.PROTECTION)}
-    return table(spark, sf, "pages").select("page_id", *[F.array_join(v, ",").alias(k) for k, v in found.items()], tx.needs_login(h).alias("needs_login"))
+    return pages.select("page_id", *[F.array_join(v, ",").alias(k) for k, v in found.items()], tx.has_any(low, tx.LOGIN).alias("needs_login"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"len(list_distinct(regexp_extract_all(text, '(?i){p}'))) AS {k}" for k, p in tx.PATTERNS.items()) + " FROM documents")
