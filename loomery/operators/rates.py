@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.functions.names import fresh
+from loomery.operators import key_sequences
 
 #: Length of a time slice, in windows: one event in so many is counted twice.
 SLICE = 16
@@ -21,9 +23,10 @@ def sliding_rate(events: DataFrame, key: str, ts: str, seconds: int) -> DataFram
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     own = F.floor(at / (SLICE * width))
     slices = F.when(at >= (own + 1) * SLICE * width - width, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = events.withColumn("__slice", F.explode(slices))
-    w = Window.partitionBy(key, "__slice").orderBy(at).rangeBetween(-width, 0)
-    return rows.withColumn("in_window", F.count("*").over(w)).where(F.col("__slice").eqNullSafe(own)).drop("__slice")
+    (part,) = fresh([*events.columns, "in_window"], "slice")
+    rows = events.withColumn(part, F.explode(slices))
+    w = Window.partitionBy(key, part).orderBy(at).rangeBetween(-width, 0)
+    return rows.withColumn("in_window", F.count("*").over(w)).where(F.col(part).eqNullSafe(own)).drop(part)
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, rate: float, seconds: int) -> DataFrame:
@@ -33,32 +36,26 @@ def rate_limited(events: DataFrame, key: str, ts: str, rate: float, seconds: int
 
 def sustained(events: DataFrame, key: str, ts: str, tie: str, holds: Column, seconds: int) -> DataFrame:
     """Spans in which ``holds`` stayed true at least so long: key, began, ended, n. A false clears the span."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
     marked = events.select(key, ts, tie, holds.alias("holds"))
-    marked = marked.withColumn("span", F.sum((~F.col("holds")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = key_sequences.running(marked, key, [ts, tie], {"span": ("sum", (~F.col("holds")).cast("long"))})
     spans = marked.where("holds").groupBy(key, "span").agg(F.min(ts).alias("began"), F.max(ts).alias("ended"), F.count("*").alias("n"))
     return spans.where(F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp")) >= seconds * 1_000_000).select(key, "began", "ended", "n")
 
 
 def running_mean(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Add ``running_mean``; exact sums if ``value`` is a decimal."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running_mean", F.sum(value).over(w).cast("double") / F.count(value).over(w))
+    total, n = fresh([*events.columns, "running_mean"], "total", "n")
+    rows = key_sequences.running(events, key, order, {total: ("sum", F.col(value)), n: ("count", F.col(value))})
+    return rows.withColumn("running_mean", F.col(total).cast("double") / F.col(n)).drop(total, n)
 
 
 def trailing_mean(events: DataFrame, key: str, order: list[str], value: str, rows: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - rows, 0)
-    return events.withColumn("trailing_mean", F.avg(value).over(w))
+    """Add ``trailing_mean`` of the key's last ``rows`` rows."""
+    total, n = fresh([*events.columns, "trailing_mean"], "total", "n")
+    found = key_sequences.trailing(events, key, order, {total: ("sum", F.col(value)), n: ("count", F.col(value))}, rows)
+    return found.withColumn("trailing_mean", F.when(F.col(n) > 0, F.col(total).cast("double") / F.col(n))).drop(total, n)
 
 
 def moving_average(events: DataFrame, key: str, order: list[str], value: str, rate: float) -> DataFrame:
-    """Last value of the exponential moving average of each key; the first sample seeds it.
-
-    The closed form weighs row i of n by rate (1-rate)^(n-i), and the seed by
-    (1-rate)^(n-1), so it is one partial aggregation over ranked rows.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = events.select(key, F.col(value).alias("v"), F.row_number().over(w).alias("at"), n.alias("n"))
-    weight = F.pow(F.lit(1 - rate), F.col("n") - F.col("at")) * F.when(F.col("at") == 1, 1.0).otherwise(rate)
-    return ranked.groupBy(key).agg(F.sum(F.col("v") * weight).alias("ema"), F.max("n").alias("n"))
+    """(key, ema, n): last value of the exponential moving average of each key; the first sample seeds it."""
+    return key_sequences.exponential(events, key, order, value, rate)

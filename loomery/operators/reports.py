@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomery.operators import key_sequences
+
 #: Limits beyond which one execution or a tool's profile is worth a word.
 SLOW_SECONDS, HIGH_MEMORY_MB, HIGH_CPU, LOW_SUCCESS = 30.0, 500.0, 80.0, 0.8
 
@@ -43,9 +45,11 @@ def ranked(profiles: DataFrame, by: Column, k: int, tool: str = "tool") -> DataF
 def degraded(log: DataFrame, order: Sequence[str], tool: str = "tool") -> DataFrame:
     """(tool, before, after): of its last ten executions the later five are slower than the earlier five by a tenth of the mean of all."""
     last = Window.partitionBy(tool).orderBy(*[F.desc(c) for c in order])
-    rows = log.select(tool, "seconds", F.row_number().over(last).alias("back"))
-    means = rows.groupBy(tool).agg(F.avg("seconds").alias("mean"), F.avg(F.when(F.col("back") <= 5, F.col("seconds"))).alias("after"), F.avg(F.when(F.col("back").between(6, 10), F.col("seconds"))).alias("before"), F.count_if(F.col("back") <= 10).alias("n"))
-    return means.where((F.col("n") == 10) & (F.col("after") - F.col("before") > 0.1 * F.col("mean"))).select(tool, "before", "after")
+    # The filter on the rank bounds what each task sends; the mean needs no order.
+    tail = log.select(tool, "seconds", *order).withColumn("back", F.row_number().over(last)).where("back <= 10")
+    parts = tail.groupBy(tool).agg(F.avg(F.when(F.col("back") <= 5, F.col("seconds"))).alias("after"), F.avg(F.when(F.col("back") > 5, F.col("seconds"))).alias("before"), F.count("*").alias("n"))
+    means = log.groupBy(tool).agg(F.avg("seconds").alias("mean"))
+    return parts.where("n = 10").join(means, tool).where(F.col("after") - F.col("before") > 0.1 * F.col("mean")).select(tool, "before", "after")
 
 
 def error_prefixes(log: DataFrame, by: Sequence[str] = ("tool",)) -> DataFrame:
@@ -133,10 +137,10 @@ def recent_modes(log: DataFrame, by: str, order: Sequence[str], value: str, most
 
 def rolling_profile(log: DataFrame, order: Sequence[str], tool: str = "tool", rows: int = 100) -> DataFrame:
     """Every execution with the tool's profile up to it: sum over the last rows and their number, least, largest and errors over all."""
-    w = Window.partitionBy(tool).orderBy(*order)
-    near, all_ = w.rowsBetween(1 - rows, 0), w.rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("seconds")
-    return log.withColumns({"near_sum": F.sum(s).over(near), "near_rows": F.count(s).over(near), "least": F.min(s).over(all_), "most": F.max(s).over(all_), "errors": F.sum((~F.col("ok")).cast("long")).over(all_)})
+    all_of = {"least": ("min", s), "most": ("max", s), "errors": ("sum", (~F.col("ok")).cast("long"))}
+    near = key_sequences.trailing(log, tool, order, {"near_sum": ("sum", s), "near_rows": ("count", s)}, rows)
+    return key_sequences.running(near, tool, order, all_of)
 
 
 def job_progress(jobs: DataFrame) -> DataFrame:
