@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomery.llm.chat_formatting import CONTROLS, ESCAPE
 from loomery.llm.license_scans import NOTICES, PHRASES, split_words
 from loomery.llm.quality_rules import RULES, subsets
+from loomery.llm.url_filters import PATTERN_RULES
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
@@ -13,9 +14,10 @@ URL_FILTERS = f"""
 WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 r(rule, h, pre, action) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 j AS (SELECT page_id, host, path, max(row(length(rule), rule, action)) FILTER (rule IS NOT NULL) AS best FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY 1, 2, 3),
-m AS (SELECT *, CASE WHEN best IS NOT NULL THEN NULL WHEN regexp_matches(host || path, '(?:^|[./-])(?:xxx|porn)(?:[./-]|$)') THEN 'adult' WHEN regexp_matches(host || path, '/(?:login|signin)(?:/|$)') THEN 'session page'
-    WHEN regexp_matches(host || path, '(?:^|[.-])cheap-pills(?:[.-]|/|$)') THEN 'cheap pills' WHEN regexp_matches(host || path, '(?:^|[./-])casino(?:[./-]|$)') THEN 'casino' WHEN regexp_matches(host || path, '(?:^|[.-])spam-farm(?:[.-]|/|$)') THEN 'spam farm' END AS pattern FROM j)
-SELECT page_id, host, path, best[2] AS rule, CASE WHEN best IS NOT NULL THEN best[3] WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM m
+w(ordinal, name, regex) AS (VALUES {", ".join(f"({n}, '{r.name}', '{r.regex}')" for n, r in enumerate(PATTERN_RULES))}),
+m AS (SELECT page_id, host, path, best, max(row(length(name), ordinal, name)) AS hit FROM j LEFT JOIN w ON best IS NULL AND regexp_matches(host || path, regex) GROUP BY ALL),
+u AS (SELECT page_id, host, path, best, CASE WHEN hit[1] IS NOT NULL THEN hit[3] END AS pattern FROM m)
+SELECT page_id, host, path, best[2] AS rule, CASE WHEN best IS NOT NULL THEN best[3] WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern FROM u
 """
 
 

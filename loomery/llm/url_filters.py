@@ -16,6 +16,7 @@ the five result columns, which are then replaced.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Sequence
@@ -62,16 +63,52 @@ SITE_RULES = (
     site_rule("block", "net", "/es/"),
     site_rule("block", "net", "/fr/"),
 )
-#: Patterns of unwanted hosts, for URLs that no site rule decides.
-PATTERN_RULES = (
-    pattern_rule("block", "spam farm", r"(?:^|[.-])spam-farm(?:[.-]|/|$)", ("spam", "farm")),
-    pattern_rule("block", "cheap pills", r"(?:^|[.-])cheap-pills(?:[.-]|/|$)", ("cheap", "pills")),
-    pattern_rule("block", "casino", r"(?:^|[./-])casino(?:[./-]|$)", ("casino",)),
-    pattern_rule("block", "adult", r"(?:^|[./-])porn(?:[./-]|$)", ("porn",)),
-    pattern_rule("block", "adult", r"(?:^|[./-])xxx(?:[./-]|$)", ("xxx",)),
-    pattern_rule("block", "session page", r"/login(?:/|$)", ("login",)),
-    pattern_rule("block", "session page", r"/signin(?:/|$)", ("signin",)),
-)
+#: Words of unwanted hosts by kind: parts of host names between dots and dashes. Taken from no data; a parameter of the filter.
+HOST_WORDS = {
+    "gambling": "casino casinos poker roulette jackpot slots slot betting bet bookmaker sportsbook lottery lotto bingo blackjack baccarat gambling wager",
+    "adult": "porn porno xxx sex sexy adult escort escorts nude nudes hentai camgirls webcams milf erotic fetish",
+    "advertising": "ads ad adserver adserv adsrv adtrack adtech adsystem adnetwork advert adverts advertising banner banners popunder popup clicktrack clicks doubleclick sponsored",
+    "tracking": "track tracker trackers tracking pixel pixels beacon beacons telemetry stats counter metrics analytics",
+    "pills": "pills pill viagra cialis levitra pharmacy pharma drugstore meds tramadol xanax steroids cheap-pills",
+    "spam farm": "spam spam-farm linkfarm link-farm backlinks seo-links article-farm content-farm doorway",
+    "fraud": "phish phishing scam payday-loan quick-loans easy-money get-rich free-money replica replicas fake-id counterfeit",
+    "warez": "warez crack cracks keygen keygens serials torrent torrents nulled pirate",
+    "proxy": "proxy proxies anonymizer unblocker webproxy",
+    "parked": "parked parking domain-for-sale buy-domain expired-domain",
+}
+#: Words of paths that hold no documents, as whole segments or before an extension.
+PATH_WORDS = {
+    "session page": "login signin sign-in logon signup sign-up logout signout register registration password-reset forgot-password oauth sso auth",
+    "shop page": "cart basket checkout wishlist order-tracking add-to-cart",
+    "search page": "search searchresults search-results advanced-search",
+    "admin page": "admin wp-admin wp-login wp-json cgi-bin phpmyadmin cpanel",
+    "feed": "rss atom feed feeds xmlrpc",
+}
+#: Endings of files that are no pages.
+SUFFIXES = {
+    "image": "jpg jpeg png gif webp svg ico bmp tiff",
+    "archive": "zip gz tgz rar 7z bz2 xz iso dmg",
+    "program": "exe msi apk deb rpm jar dll",
+    "media": "mp3 mp4 avi mov mkv wav ogg flac webm",
+    "asset": "css js map woff woff2 ttf eot",
+    "office file": "pdf doc docx xls xlsx ppt pptx odt",
+}
+
+
+def word_rules() -> tuple[UrlRule, ...]:
+    """One rule for each word of the tables: within host names, as a segment of a path, or as its ending; any case of letters."""
+    out = []
+    parts = lambda w: tuple(re.findall("[a-z0-9]+", w))
+    for kind, words in HOST_WORDS.items():
+        out += [pattern_rule("block", kind, rf"(?i)^(?:[^/]*[.-])?{re.escape(w)}(?:[.-][^/]*)?(?:/|$)", parts(w)) for w in words.split()]
+    for kind, words in PATH_WORDS.items():
+        out += [pattern_rule("block", kind, rf"(?i)/{re.escape(w)}(?:[/.]|$)", parts(w)) for w in words.split()]
+    for kind, words in SUFFIXES.items():
+        out += [pattern_rule("block", kind, rf"(?i)/[^/]*\.{w}$", parts(w)) for w in words.split()]
+    return tuple(out)
+
+
+PATTERN_RULES = word_rules()
 
 
 def host_of(url: Column) -> Column:
@@ -93,29 +130,33 @@ def rarest_literals(keys: DataFrame, rules: Sequence[UrlRule]) -> dict[int, str]
     counts: dict[str, int] = {}
     for at in range(0, len(literals), SLICE):
         part = literals[at : at + SLICE]
-        found = keys.select(F.explode(F.array_intersect(_tokens(F.col("key")), F.array(*map(F.lit, part)))).alias("token"))
+        found = keys.select(F.explode(F.array_intersect(_tokens(F.col("key")), _table(part, "array<string>"))).alias("token"))
         counts |= {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
     return {i: min(r.literals, key=lambda t: (counts.get(t, 0), t)) for i, r in enumerate(rules) if r.literals}
 
 
+def _table(value: list, kind: str) -> Column:
+    """A constant of nested arrays and maps; one literal, however many rules it holds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _best(key: Column, tokens: Column, rules: Sequence[tuple[int, UrlRule]], rarest: dict[int, str]) -> Column:
     """The strongest matching rule of one slice as struct(listed, length, ordinal), or null."""
     index: dict[str, list[int]] = {}
     free: list[int] = []
     for place, (ordinal, rule) in enumerate(rules):
         index.setdefault(rarest[ordinal], []).append(place) if ordinal in rarest else free.append(place)
-    places = F.array(*map(F.lit, free)).cast("array<int>")
+    places = _table(free, "array<int>")
     if index:
-        parts: list[list] = [[] for _ in range(2 * len(index))]
+        parts: list[dict] = [{} for _ in range(2 * len(index))]
         for t, ps in sorted(index.items()):
-            parts[zlib.crc32(t.encode()) % len(parts)] += [F.lit(t), F.array(*map(F.lit, ps))]
-        none = F.lit(None).cast("map<string,array<int>>")
-        lookup = F.array(*[F.create_map(*part) if part else none for part in parts])
+            parts[zlib.crc32(t.encode()) % len(parts)][t] = ps
+        lookup = _table([part or None for part in parts], "array<map<string,array<int>>>")
         held = lambda t: F.try_element_at(F.get(lookup, (F.crc32(t.cast("binary")) % len(parts)).cast("int")), t)
         fetched = F.transform(tokens, lambda t: F.coalesce(held(t), F.array().cast("array<int>")))
         places = F.concat(places, F.flatten(fetched))
-    regexes = F.array(*[F.lit(r.regex) for _, r in rules])
-    ranks = F.array(*[F.struct(F.lit(int(r.listed)).alias("listed"), F.lit(len(r.name)).alias("size"), F.lit(o).alias("ordinal")) for o, r in rules])
+    regexes = _table([r.regex for _, r in rules], "array<string>")
+    ranks = _table([{"listed": int(r.listed), "size": len(r.name), "ordinal": o} for o, r in rules], "array<struct<listed:int,size:int,ordinal:int>>")
     hits = F.filter(F.array_distinct(places), lambda p: F.rlike(key, F.get(regexes, p)))
     return F.array_max(F.transform(hits, lambda p: F.get(ranks, p)))
 
@@ -131,7 +172,7 @@ def judge_urls(pages: DataFrame, site_rules: Sequence[UrlRule] = SITE_RULES, pat
     key = F.concat("host", "path")
     bests = [_best(key, _tokens(key), part, rarest) for part in slices]
     best = F.array_max(F.array(*bests)) if bests else F.lit(None).cast("struct<listed:int,size:int,ordinal:int>")
-    names, actions = F.array(*[F.lit(r.name) for r in rules]), F.array(*[F.lit(r.action) for r in rules])
+    names, actions = _table([r.name for r in rules], "array<string>"), _table([r.action for r in rules], "array<string>")
     (name,) = fresh([*out.columns, "rule", "pattern", "verdict"], "best")
     out = out.withColumn(name, best)
     at = F.col(f"{name}.ordinal")
