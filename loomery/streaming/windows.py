@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def windowed_rates(events: DataFrame, ts: str, key: str, value: str, length: str = "60 seconds", slide: str = "10 seconds", late: str = "5 minutes") -> DataFrame:
     """Events, rate, mean and maximum of each key in sliding windows; rows later than ``late`` are dropped by the watermark."""
-    seconds = F.col("w.end").cast("double") - F.col("w.start").cast("double")
+    seconds = F.col("w.end").cast("timestamp").cast("double") - F.col("w.start").cast("timestamp").cast("double")
     grouped = events.withWatermark(ts, late).groupBy(F.window(ts, length, slide).alias("w"), key)
     counts = grouped.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", (F.col("n") / seconds).alias("rate"), "mean", "most")
