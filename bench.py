@@ -14,7 +14,8 @@ HEADLINE = (
     "host_summary url_normalize url_category filter_comprehensive score_comprehensive record_profile price_by_group price_histogram entity_counts sentiment_share data_quality "
     "frequency_table anomaly_zscore trend_halves compare_datasets tool_performance tool_percentiles daily_tool_performance tool_transitions sliding_rate sustained_alerts moving_average "
     "page_structure page_links page_technology text_patterns vector_nearest text_similarity graph_breadth_first graph_in_links content_statistics "
-    "rank_agreement rate_limit near_strings performance_report plan_issues page_cards first_successes competitive_results tool_keyword_matches paragraph_clusters"
+    "rank_agreement rate_limit near_strings performance_report plan_issues page_cards first_successes competitive_results tool_keyword_matches paragraph_clusters "
+    "page_elements page_path_items page_repeating_structures page_product_patterns text_tool_matches vector_lookup page_walks document_entities event_structure running_mean"
 ).split()
 
 

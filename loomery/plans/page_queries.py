@@ -1,7 +1,9 @@
 """Queries over page markup and URLs, with SQL oracles.
 
-The tables' pages hold plain prose, so markup is built from page ids in a way that
-reaches every branch; the oracles work from the ids and never read the markup.
+The tables' pages hold plain prose, so markup that reaches every branch is spliced into
+them, in a way that page ids decide; what the stored page holds besides, with its
+unclosed elements, comments and scripts, has to be seen or left alone. Where stored
+words would count, pages are built from ids alone.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ def page_cards(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'next_button' WHEN 1 THEN 'numbered_pages' WHEN 2 THEN 'load_more' ELSE 'none' END AS kind, CASE WHEN page_id % 4 = 0 THEN 'https://shop.org/list?p=' || page_id END AS next_url,
     CASE WHEN page_id % 4 = 1 THEN 2 ELSE 0 END AS pages, CASE WHEN page_id % 4 = 1 THEN (page_id % 9)::INT ELSE 1 END AS current, CASE WHEN page_id % 8 = 1 THEN 17 WHEN page_id % 4 = 1 THEN 2 ELSE 1 END AS total FROM pages""")
 def page_pagination(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(
+    rows = spliced(
         spark, sf, "<body>", when(i() % 4 == 0, '<a rel="next" href="/list?p=', s(), '">Next</a>'),
         when(i() % 4 == 1, '<div class="pagination"><a href="/a">1</a><a href="/b">2</a><span class="current">', (i() % 9).cast("string"), "</span>", when(i() % 8 == 1, "page 1 of 17"), "</div>"), when(i() % 4 == 2, '<button class="btn load-more">more</button>'), "</body>",
     )
@@ -83,7 +85,7 @@ def page_pagination(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, page_id % 3 < 2 AS endless, CASE WHEN page_id % 3 = 0 THEN 'spinner' ELSE '' END AS loading, CASE WHEN page_id % 2 = 0 THEN 'feed,timeline' ELSE '' END AS feeds FROM pages")
 def page_endless(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, "<body>", when(i() % 3 == 0, '<i class="spinner big"></i>'), when(i() % 3 == 1, "<script>new IntersectionObserver(f)</script>"), when(i() % 2 == 0, '<div class="timeline feed"></div>'), '<p class="spinners">x</p></body>')
+    rows = spliced(spark, sf, "<body>", when(i() % 3 == 0, '<i class="spinner big"></i>'), when(i() % 3 == 1, "<script>new IntersectionObserver(f)</script>"), when(i() % 2 == 0, '<div class="timeline feed"></div>'), '<p class="spinners">x</p></body>')
     found = rows.select("page_id", page_fields.endless(F.col("html")).alias("e"))
     return found.select("page_id", "e.endless", F.array_join("e.loading", ",").alias("loading"), F.array_join("e.feeds", ",").alias("feeds"))
 
@@ -100,9 +102,9 @@ def page_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return page_fields.element_counts(rows, "page_id")
 
 
-@query("""SELECT page_id, round(least(1, CASE WHEN page_id % 3 = 0 THEN 0.3 ELSE (page_id % 2) / (page_id % 3) * 0.3 END + CASE WHEN page_id % 4 = 0 THEN 0.1 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END / 7 * 0.3 + CASE WHEN page_id % 5 = 0 THEN 0.2 ELSE 0 END), 4) AS score FROM pages""")
+@query("""SELECT page_id, round(least(1, CASE WHEN page_id % 3 = 0 THEN 0.3 ELSE (page_id % 2) / (page_id % 3) * 0.3 END + CASE WHEN page_id % 4 = 0 THEN 0.1 ELSE 0 END + (contains(html, '<nav>')::INT + contains(html, '<article>')::INT + contains(html, '<footer>')::INT + (page_id % 2 = 0)::INT) / 7 * 0.3 + CASE WHEN contains(html, '<h1>') THEN 0.2 ELSE 0 END), 4) AS score FROM pages""")
 def page_accessibility(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, F.repeat(F.lit("<img src=x>"), (i() % 3).cast("int")), when((i() % 2 == 1) & (i() % 3 > 0), "<b alt='x'></b>"), when(i() % 4 == 0, "<i aria-label=a aria-hidden=b></i>"), when(i() % 2 == 0, "<nav></nav><footer></footer>"), when(i() % 5 == 0, "<h2>x</h2>"))
+    rows = spliced(spark, sf, F.repeat(F.lit("<img src=x>"), (i() % 3).cast("int")), when((i() % 2 == 1) & (i() % 3 > 0), "<b alt='x'></b>"), when(i() % 4 == 0, "<i aria-label=a aria-hidden=b></i>"), when(i() % 2 == 0, "<main></main>"))
     return rows.select("page_id", r4(page_fields.accessibility(F.col("html"))).alias("score"))
 
 
@@ -140,27 +142,27 @@ def registered_domains(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id, 0 AS pos, 'Product' AS type, 'P' || page_id AS name FROM pages UNION ALL SELECT page_id, 1, 'NewsArticle', NULL FROM pages WHERE page_id % 2 = 0""")
 def page_json_ld(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, '<script type="application/ld+json">{"@type": "Product", "name": "P', s(), '"}</script>', when(i() % 2 == 0, '<script type="application/ld+json">{"@type": "NewsArticle"}</script>'))
+    rows = spliced(spark, sf, '<script type="application/ld+json">{"@type": "Product", "name": "P', s(), '"}</script>', when(i() % 2 == 0, '<script type="application/ld+json">{"@type": "NewsArticle"}</script>'))
     return extraction.json_ld(rows, "page_id").select("page_id", "pos", "type", F.get_json_object("json", "$.name").alias("name"))
 
 
 @query("SELECT page_id, 'name' AS property, 'N' || page_id AS value FROM pages UNION ALL SELECT page_id, 'link', '/l' FROM pages UNION ALL SELECT page_id, 'price', '5' FROM pages WHERE page_id % 2 = 0")
 def page_microdata(spark: SparkSession, sf: str) -> DataFrame:
-    rows = built(spark, sf, '<div itemscope><b itemprop="name"> N', s(), ' </b><a itemprop="link" href="/l">x</a>', when(i() % 2 == 0, '<meta itemprop="price" content="5">'), "</div>")
+    rows = spliced(spark, sf, '<div itemscope><b itemprop="name"> N', s(), ' </b><a itemprop="link" href="/l">x</a>', when(i() % 2 == 0, '<meta itemprop="price" content="5">'), "</div>")
     return extraction.microdata(rows, "page_id")
 
 
 @query("SELECT page_id, 0 AS pos, (2 + page_id % 3)::INT AS rows, (2 * (2 + page_id % 3))::INT AS cells, page_id % 2 = 0 AS has_header, round(0.5 + CASE WHEN page_id % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN page_id % 3 = 2 THEN 0.1 ELSE 0 END, 4) AS confidence FROM pages")
 def page_tables(spark: SparkSession, sf: str) -> DataFrame:
     first = F.when(i() % 2 == 0, "<tr><th>a</th><th>b</th></tr>").otherwise("<tr><td>a</td><td>b</td></tr>")
-    rows = built(spark, sf, "<table>", first, F.repeat(F.lit("<tr><td>1</td><td>2</td></tr>"), (1 + i() % 3).cast("int")), "</table><table><tr><td>x</td></tr></table>")
+    rows = spliced(spark, sf, "<table>", first, F.repeat(F.lit("<tr><td>1</td><td>2</td></tr>"), (1 + i() % 3).cast("int")), "</table><table><tr><td>x</td></tr></table>")
     return extraction.tables(rows, "page_id").withColumn("confidence", r4(F.col("confidence")))
 
 
 @query("SELECT page_id, 0 AS pos, 2 AS fields, CASE page_id % 4 WHEN 0 THEN 'login' WHEN 1 THEN 'search' WHEN 2 THEN 'registration' ELSE 'general' END AS kind FROM pages")
 def page_forms(spark: SparkSession, sf: str) -> DataFrame:
     inner = F.when(i() % 4 == 0, '<input name="u"><input type="password">').when(i() % 4 == 1, '<input name="search"><select></select>').when(i() % 4 == 2, '<input type="password"><input name="confirm">').otherwise("<input><textarea></textarea>")
-    return extraction.forms(built(spark, sf, "<form>", inner, "</form><form><input></form>"), "page_id")
+    return extraction.forms(spliced(spark, sf, "<form>", inner, "</form><form><input></form>"), "page_id")
 
 
 @query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'price' WHEN 1 THEN 'email' WHEN 2 THEN 'percentage' WHEN 3 THEN 'number' WHEN 4 THEN 'boolean' ELSE 'text' END AS type FROM pages")
