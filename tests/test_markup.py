@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions.markup import FIELDS, read_markup
-from loomery.operators import markup, page_patterns
+from loomery.operators import markup, page_fields, page_patterns, paragraphs
 
 CLASSES = ("card", "price", "name now", "", "x y")
 
@@ -312,3 +312,26 @@ def test_consensus(spark):
     assert (got["g"].common_classes, got["g"].tags, got["g"].kinds) == (["a", "b"], ["div", "p"], ["text", "price"])
     assert got["g"].selectors == [".a", ".b", "div", "p", "div.a"] and got["g"].consistency == pytest.approx((2 / 3 + 0.5) / 2)
     assert got["h"].consistency == 1.0 and got["h"].confidence == pytest.approx(0.9) and got["h"].common_classes == []
+
+
+def test_contacts_cards_and_rdfa_read_whole_elements(spark):
+    html = (
+        '<div class="address"><p>Main <b>St</b> 5</p></div><!-- <b class="phone">123-456-7890</b> --><b class="phone"><i>+49</i> 30</b><a href="mailto:a@b.org?s=1">m</a>'
+        '<ul><li class="card"><h3 class="name">Big <i>lamp</i></h3><b class="price"><i>$</i>5</b><a href="">e</a><a href="/1">x</a><li class="card"><time datetime="2024"></time></ul>'
+        '<div typeof="http://s.org/Person"><p property="name">Ada <b>L</b></p><div typeof="Place"><i property="city" content="Rome">no</i></div></div><form id="contact-us"></form>'
+    )
+    rows = spark.createDataFrame([(1, html), (2, None)], "k long, html string")
+    got = {r.k: r for r in page_fields.contacts(rows, "k").collect()}
+    assert (got[1].emails, got[1].phones, got[1].addresses, got[1].contact_forms) == (["a@b.org"], ["+49 30"], ["Main St 5"], 1)
+    assert (got[2].emails, got[2].phones, got[2].contact_forms) == ([], [], 0)
+    cards = page_fields.cards(rows, "k", ["card"], {"name": ["name"], "price": ["price"]}).orderBy("pos").collect()
+    assert [(r.pos, r.link, r.shown_at, r["name"], r.price) for r in cards] == [(0, "/1", None, "Big lamp", "$5"), (1, None, "2024", None, None)]
+    facts = {(r.pos, r.type, r.property, r.value) for r in page_fields.rdfa(rows, "k").collect()}
+    assert facts == {(0, "Person", "name", "AdaL"), (0, "Person", "city", "Rome"), (1, "Place", "city", "Rome")}
+    assert [tuple(r) for r in page_fields.headline_contacts(rows, "k").where("k = 1").collect()] == [(1, None, None, "a@b.org?s=1")]
+
+
+def test_paragraphs_keep_inline_elements(spark):
+    html = "<p>one two <b>three</b> four five six <i>seven</i> eight nine ten eleven</p><!-- <p>a b c d e f g h i j k l</p> --><p>short</p>"
+    (row,) = paragraphs.clusters(spark.createDataFrame([(1, html)], "k long, html string"), "k").collect()
+    assert row.text == "one two three four five six seven eight nine ten eleven"
