@@ -125,3 +125,16 @@ def test_pipeline_keeps_counts_of_the_user(spark, sf):
     docs = spark.createDataFrame([(1, "a line\nanother", 77, 78)], "doc_id long, text string, n_lines int, n_removed int").withColumn("n_chars", F.length("text").cast("long"))
     (row,) = corpus_pipeline.delete_repeated_lines(spark, docs, sf).collect()
     assert (row.n_lines, row.n_removed) == (77, 78)
+
+
+def test_word_rules(spark):
+    blocked = {
+        "https://ads-track.site.org/x": "advertising", "http://my.casino.example.com/": "gambling", "https://a.org/wp-login.php": "admin page", "https://a.org/docs/Report.PDF": "office file",
+        "https://a.org/Login": "session page", "https://cheap-pills.net": "pills", "https://a.org/feed/": "feed", "http://a.org/p/search?q=1": "search page",
+    }
+    allowed = ["https://casinoville.org/x", "https://a.org/casino-history", "https://a.org/catalogin/", "https://a.org/pdf/about", "https://readings.org/", "https://a.org/research/x", None, ""]
+    rows = [(i, u) for i, u in enumerate([*blocked, *allowed])]
+    got = {r.url: (r.verdict, r.pattern) for r in url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), ()).collect()}
+    assert {u: got[u] for u in blocked} == {u: ("block", p) for u, p in blocked.items()}
+    assert {got[u] for u in allowed} == {("allow", None)}
+    assert len({r.regex for r in url_filters.PATTERN_RULES}) == len(url_filters.PATTERN_RULES) > 200
