@@ -77,12 +77,9 @@ def contacts(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     )
     texts = markup.class_texts(nodes, key, {"emails": EMAIL_CLASSES, "phones": PHONE_CLASSES, "addresses": ADDRESS_CLASSES})
     visible = tx.without_scripts(F.col(f"`{html}`"))
-    seen = []
-    for kind, pattern in (("emails", tx.PATTERNS["email"]), *(("phones", p) for p in PHONES)):
-        seen.append(pages.select(F.col(key), F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(visible, F.lit(pattern), F.lit(0))).alias("value")))
     found = nodes.select(key, F.explode(stated).alias("x")).select(key, "x.*").unionByName(texts.select(key, F.col("field").alias("kind"), F.col("text").alias("value")))
-    for more in seen:
-        found = found.unionByName(more)
+    for kind, pattern in (("emails", tx.PATTERNS["email"]), *(("phones", p) for p in PHONES)):
+        found = found.unionByName(pages.select(F.col(key), F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(visible, F.lit(pattern), F.lit(0))).alias("value")))
     kinds = ("emails", "phones", "addresses", "social_links")
     lists = [F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds]
     summed = found.where("value <> ''").groupBy(key).agg(*lists, F.count_if(F.col("kind") == "forms").alias("contact_forms"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.operators import markup, page_patterns
+from loomery.operators import hybrid, markup, page_patterns
 from loomery.operators.markup import PathField
 from loomery.plans.queries import query
 from loomery.session import table
@@ -194,3 +194,19 @@ def page_element_consensus(spark: SparkSession, sf: str) -> DataFrame:
     found = page_patterns.element_consensus(elements, ["page"], 0.4)
     lists = [F.array_join(c, ",").alias(c) for c in ("common_classes", "tags", "kinds", "selectors")]
     return found.select("page", "n", *lists, r9(F.col("consistency")).alias("consistency"), r9(F.col("confidence")).alias("confidence"))
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 4 AS k, trim(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&amp;', '&'), E' \\n\\t') AS h FROM pages)
+SELECT page_id, 'headline' AS field, CASE k WHEN 0 THEN 'LD ' || page_id WHEN 1 THEN 'Micro ' || page_id ELSE h END AS value, CASE k WHEN 0 THEN 'json_ld' WHEN 1 THEN 'microdata' ELSE 'elements' END AS source FROM p
+UNION ALL SELECT page_id, 'author', CASE k WHEN 2 THEN 'Rdf A.' ELSE 'By ' || page_id || ' Ann' END, CASE k WHEN 2 THEN 'rdfa' ELSE 'elements' END FROM p
+UNION ALL SELECT page_id, 'datePublished', '2024-01-02', 'json_ld' FROM p WHERE k = 0""")
+def page_hybrid_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored articles with one kind of structured data spliced in, and a byline for what it lacks."""
+    page = F.col("page_id").cast("string")
+    data = F.concat(
+        when("page_id % 4 = 0", '<script type="application/ld+json">{"@type": "Article", "headline": "LD ', page, '", "author": "", "datePublished": "2024-01-02"}</script>'),
+        when("page_id % 4 = 1", '<div itemscope itemtype="https://schema.org/Article"><p itemprop="headline">Micro <b>', page, "</b></p></div>"),
+        when("page_id % 4 = 2", '<div typeof="Article"><i property="author" content="Rdf A.">x</i></div>'), F.lit('<!-- <b class="author">no</b> --><p class="byline">By '), page, F.lit(" <b>Ann</b></p>"),
+    )
+    pages = table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("<article>"), F.concat(data, F.lit("<article>"))))
+    return hybrid.hybrid_fields(pages, "page_id", "Article")

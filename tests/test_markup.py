@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery.functions.markup import FIELDS, read_markup
-from loomery.operators import markup, page_fields, page_patterns, paragraphs
+from loomery.operators import hybrid, markup, page_fields, page_patterns, paragraphs
 
 CLASSES = ("card", "price", "name now", "", "x y")
 
@@ -335,3 +335,14 @@ def test_paragraphs_keep_inline_elements(spark):
     html = "<p>one two <b>three</b> four five six <i>seven</i> eight nine ten eleven</p><!-- <p>a b c d e f g h i j k l</p> --><p>short</p>"
     (row,) = paragraphs.clusters(spark.createDataFrame([(1, html)], "k long, html string"), "k").collect()
     assert row.text == "one two three four five six seven eight nine ten eleven"
+
+
+def test_hybrid_fields_fall_back_by_source(spark):
+    ld = '<script type="application/ld+json">{"@type": "Product", "name": "L", "price": 5, "brand": " "}</script>'
+    micro = '<div itemscope itemtype="http://schema.org/Product"><b itemprop="name">M</b><meta itemprop="sku" content="s1"></div>'
+    rows = [(1, ld + micro + '<h1>H</h1><b class="brand">B <i>c</i></b>'), (2, micro + '<b class="price"></b><b class="cost"><i>$</i>7</b>'), (3, '<script type="application/ld+json">{"@type": "Article", "name": "A"}</script><h1>H</h1>'), (4, None)]
+    got = {(r.k, r.field): (r.value, r.source) for r in hybrid.hybrid_fields(spark.createDataFrame(rows, "k long, html string"), "k", "Product").collect()}
+    assert got == {
+        (1, "name"): ("L", "json_ld"), (1, "price"): ("5", "json_ld"), (1, "brand"): ("B c", "elements"), (1, "sku"): ("s1", "microdata"),
+        (2, "name"): ("M", "microdata"), (2, "sku"): ("s1", "microdata"), (2, "price"): ("$7", "elements"), (3, "name"): ("H", "elements"),
+    }
