@@ -22,19 +22,21 @@ def paginated(pages: DataFrame, starts: DataFrame, url: str = "url", next_url: s
     visited before) or max_pages. A page that is not stored is no row; ``pages`` has one
     row for each url.
     """
-    known = pages.select(F.col(url).alias("at"), F.col(next_url).alias("ahead"))
+    known = pages.select(F.col(url).alias("at"), F.col(next_url).alias("ahead")).hint("merge")
     stored = known.select(F.col("at").alias("ahead"))
-    jumps = durable(known.where("ahead IS NOT NULL").join(stored, "ahead", "left_semi").select("at", "ahead"))
-    walk = starts.select(F.col(url).alias("at")).distinct().join(known.select("at"), "at", "left_semi").select(F.col("at").alias("start"), F.lit(0).alias("page_no"), "at")
+    # Pages may come from rows that are built or exploded, whose size Spark guesses too low: nothing here is broadcast.
+    kept = lambda df: durable(df).hint("merge")
+    jumps = kept(known.where("ahead IS NOT NULL").join(stored, "ahead", "left_semi").select("at", "ahead"))
+    walk = starts.select(F.col(url).alias("at")).distinct().join(known.select("at"), "at", "left_semi").select(F.col("at").alias("start"), F.lit(0).alias("page_no"), "at").hint("merge")
     reach = 1
     while reach < most:
         further = walk.join(jumps, "at").select("start", (F.col("page_no") + reach).alias("page_no"), F.col("ahead").alias("at"))
         # A cycle only repeats what is known: the first visit counts.
-        walk = durable(walk.unionByName(further).where(F.col("page_no") < most).groupBy("start", "at").agg(F.min("page_no").alias("page_no")).select("start", "page_no", "at"))
+        walk = kept(walk.unionByName(further).where(F.col("page_no") < most).groupBy("start", "at").agg(F.min("page_no").alias("page_no")).select("start", "page_no", "at"))
         reach *= 2
         if reach < most:
-            jumps = durable(jumps.join(jumps.select(F.col("at").alias("ahead"), F.col("ahead").alias("further")), "ahead").select("at", F.col("further").alias("ahead")))
-    ends = walk.groupBy("start").agg(F.max("page_no").alias("page_no"), F.max_by("at", "page_no").alias("at")).join(known, "at").select("start", "page_no", "ahead")
+            jumps = kept(jumps.join(jumps.select(F.col("at").alias("ahead"), F.col("ahead").alias("further")), "ahead").select("at", F.col("further").alias("ahead")))
+    ends = walk.groupBy("start").agg(F.max("page_no").alias("page_no"), F.max_by("at", "page_no").alias("at")).join(known, "at").select("start", "page_no", "ahead").hint("merge")
     visited = walk.select("start", F.col("at").alias("ahead"), F.lit(True).alias("visited"))
     there = stored.withColumn("stored", F.lit(True))
     ends = ends.join(visited, ["start", "ahead"], "left").join(there, "ahead", "left")

@@ -17,17 +17,20 @@ import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomery.functions.markup import FIELDS, read_markup
+from loomery.functions.markup import FIELDS, stream_markup
 from loomery.session import durable, importable
 
 #: Elements of a page that descendants are joined in at a time.
 BLOCK = 1024
+#: Elements that a worker holds at a time; a page may have millions.
+CHUNK = 4096
 _KINDS = {"tag": "string", "attributes": "map<string,string>"}
 #: What a step needs to know of an element.
 PLACE = ("pre", "last", "parent", "pos")
@@ -46,25 +49,24 @@ def element_table(pages: DataFrame, key: str, html: str = "html", keep: bool = T
     given = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{html}`").cast("string").alias("html"))
     kind = given.schema["key"].dataType.simpleString()
     schema = ", ".join([f"key {kind}", *(f"{f} {_KINDS.get(f, 'int')}" for f in FIELDS), "text string", "solid string"])
-    types = {"tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string())}
+    types = {"tag": pa.string(), "attributes": pa.map_(pa.string(), pa.string()), "text": pa.string(), "solid": pa.string()}
+    names = [*FIELDS, "text", "solid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, texts, solids = [], [], [], []
-            for n, source in enumerate(batch.column(1).to_pylist()):
-                nodes, text, solid = read_markup(source or "")
-                rows += nodes
-                at += [n] * len(nodes)
-                texts += [text] + [None] * (len(nodes) - 1)
-                solids += [solid] + [None] * (len(nodes) - 1)
-            columns = [batch.column(0).take(pa.array(at, pa.int32()))]
-            columns += [pa.array([r[k] for r in rows], types.get(f, pa.int32())) for k, f in enumerate(FIELDS)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(solids, pa.string())], names=["key", *FIELDS, "text", "solid"])
+            # Small pages share a chunk, a large one fills many.
+            elements = ((n, *x) for n, source in enumerate(batch.column(1)) for x in stream_markup(source.as_py() or ""))
+            while rows := list(islice(elements, CHUNK)):
+                at, *values = zip(*rows, strict=True)
+                columns = [pa.array(x, types.get(f, pa.int32())) for f, x in zip(names, values, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names=["key", *names])
 
     found = given.mapInArrow(run, schema)
     classes = F.filter(F.split(F.coalesce(F.col("attributes")["class"], F.lit("")), r"\s+"), lambda c: c != "")
     out = found.withColumn("classes", classes).withColumnRenamed("key", key)
-    return durable(out) if keep else out
+    # Sizes are guessed from the files that pages come from, which may be a small part of
+    # their elements: no join takes elements for a table to broadcast.
+    return (durable(out) if keep else out).hint("merge")
 
 
 @dataclass(frozen=True)

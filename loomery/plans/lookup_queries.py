@@ -61,7 +61,7 @@ def page_walks(spark: SparkSession, sf: str) -> DataFrame:
     pages = each.select(F.concat(F.lit("/o/"), F.col("o.o_orderkey")).alias("url"), "i", F.concat(F.lit("<html><body><!-- <a rel=\"next\" href=\"/no\"> -->"), link, F.lit("</body></html>")).alias("html"))
     nodes = markup.element_table(pages, "url")
     ahead = markup.select(nodes, "url", "//nav//a[@rel='next']").groupBy("url").agg(F.min_by(F.col("attributes")["href"], "pre").alias("next_url"))
-    return discovery.paginated(pages.join(ahead, "url", "left"), pages.where("i = 0"), most=8)
+    return discovery.paginated(pages.join(ahead.hint("merge"), "url", "left"), pages.where("i = 0"), most=8)
 
 
 @query()
