@@ -16,6 +16,9 @@ from pyspark.sql.window import Window
 from loomery.operators import similarity
 from loomery.session import durable
 
+#: A table of so many rows at most is sent to every task.
+BROADCAST_ROWS = 300_000
+
 
 def _hits(low: Column, words: Sequence[str]) -> Column:
     return sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
@@ -121,22 +124,28 @@ def text_matches(requests: DataFrame, request: str, catalogue: DataFrame, tool:
     """
     split = lambda c: F.filter(F.split(F.lower(c), words), lambda w: F.length(w) > 1)
     index = durable(similarity.tf_idf(catalogue, tool, split(F.col(text))))
+    # A counted, small index goes to the requests; a large one meets them by word.
+    small = F.broadcast if index.count() <= BROADCAST_ROWS else (lambda df: df)
     total = catalogue.agg(F.count("*").alias("tools"))
     known = index.groupBy("word").agg(F.count("*").alias("df"), F.max("weight").alias("most")).join(F.broadcast(total))
-    counts = requests.select(F.col(request), F.explode(split(F.col(text))).alias("word")).groupBy(request, "word").agg(F.count("*").alias("tf"))
-    raw = counts.join(known, "word").withColumn("raw", F.col("tf") * (F.log((1 + F.col("tools")) / (1 + F.col("df"))) + 1))
+    # Texts are dealt by request once; counts, weights and ranks of a request stay where it is.
+    dealt = requests.select(F.col(request), F.col(text).alias("text")).repartition(request)
+    words_of = dealt.select(request, F.explode(split(F.col("text"))).alias("word")).join(small(known), "word")
+    counts = words_of.groupBy(request, "word", "df", "most", "tools").agg(F.count("*").alias("tf"))
+    raw = counts.withColumn("raw", F.col("tf") * (F.log((1 + F.col("tools")) / (1 + F.col("df"))) + 1))
     whole = Window.partitionBy(request)
     asked = raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole))).withColumn("bound", F.col("weight") * F.col("most"))
     rising = whole.orderBy("bound", "word").rowsBetween(Window.unboundedPreceding, 0)
-    asked = durable(asked.withColumn("fetches", F.sum("bound").over(rising) > least - 1e-9).select(request, "word", "weight", "bound", "fetches"))
-    rest = asked.where("NOT fetches").groupBy(request).agg(F.sum("bound").alias("rest"))
+    asked = asked.withColumn("fetches", F.sum("bound").over(rising) > least - 1e-9)
+    asked = durable(asked.withColumn("rest", F.sum(F.when(~F.col("fetches"), F.col("bound"))).over(whole)).select(request, "word", "weight", "fetches", "rest"))
     held = index.select(tool, "word", F.col("weight").alias("own"))
-    partial = asked.where("fetches").join(held, "word").groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("partial"))
+    partial = asked.where("fetches").join(small(held), "word").groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("partial"), F.max("rest").alias("rest"))
     best = whole.orderBy(F.desc("partial"), tool)
-    met = durable(partial.withColumn("at", F.row_number().over(best)).withColumn("touched", F.count("*").over(whole)))
-    floor = met.where(F.col("at") == k).select(request, F.col("partial").alias("floor"))
-    able = met.join(rest, request, "left").join(floor, request, "left").where(F.col("partial") + F.coalesce("rest", F.lit(0.0)) >= F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(least)) - 1e-9)
-    late = asked.where("NOT fetches").join(able.select(request, tool), request).join(held, [tool, "word"]).groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("late"))
+    met = partial.withColumn("at", F.row_number().over(best)).withColumn("touched", F.count("*").over(whole))
+    met = met.withColumn("floor", F.max(F.when(F.col("at") == k, F.col("partial"))).over(whole))
+    able = met.where(F.col("partial") + F.coalesce("rest", F.lit(0.0)) >= F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(least)) - 1e-9)
+    able = durable(able.select(request, tool, "partial", "touched"))
+    late = asked.where("NOT fetches").join(able.select(request, tool), request).join(small(held), [tool, "word"]).groupBy(request, tool).agg(F.sum(F.col("weight") * F.col("own")).alias("late"))
     scored = able.join(late, [request, tool], "left").withColumn("score", F.col("partial") + F.coalesce("late", F.lit(0.0))).where(F.col("score") > least)
     placed = scored.withColumn("place", F.row_number().over(whole.orderBy(F.desc(F.round("score", 12)), tool)))
     return placed.where(F.col("place") <= k).select(request, tool, "score", "place", "touched")
