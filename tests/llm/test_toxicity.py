@@ -115,3 +115,20 @@ def test_repeated_rows_ties_and_clashing_names(spark):
     even = tox.ToxicityModel({}, 0.0, tuple((0.0, 0.0, 0.0) for _ in tox.PATTERNS))
     assert {r.predicted for r in tox.score_toxicity(docs, even).collect()} == {1}
     assert tox.score_toxicity(docs.where(F.lit(False)), even).count() == 0
+
+
+def test_words_that_only_the_sample_holds_to_be_slurs_do_not_stand(spark):
+    """A word of clean texts that the sample leaves out; copies and repeats count as in the sample."""
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), 1) for i in range(3000)], "doc_id long, toxic int, quality int")
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = [f"plain a{i} words b{i}" for i in range(3000)]
+    taken = {int(r.text.split()[1][1:]) for r in tox.training_rows(frame(texts), labels, sample=60).collect()}
+    assert 40 < len([i for i in taken if i % 10]) < 90
+    texts = [f"{t} blargen c{i} zorkel d{i}" if i % 10 == 0 else f"{t} zorkel d{i}" if i not in taken and i % 7 == 0 else t for i, t in enumerate(texts)]
+    docs = frame(texts)
+    assert {"blargen", "zorkel"} <= set(tox.induce_words(tox.training_rows(docs, labels, sample=60)))
+    fitted = tox.fit_toxicity(docs, labels, sample=60)
+    assert fitted.lexicon["blargen"] == tox.SLUR and "zorkel" not in fitted.lexicon
+    assert {(r.doc_id % 10 == 0, r.predicted) for r in tox.score_toxicity(docs, fitted).collect()} <= {(True, 1), (False, 0)}
+    whole = tox.training_rows(docs, labels, sample=10_000)
+    assert tox.confirm_words(docs, labels, ["blargen", "zorkel", "plain", "absent"]) == {w: t for w, t in tox.induce_words(whole).items() if w in ("blargen", "zorkel", "plain")}
