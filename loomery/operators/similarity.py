@@ -18,7 +18,10 @@ BLOCK, QUERY_BLOCK = 1024, 128
 
 
 def _packed(vectors: DataFrame, key: str, group: Column, vector: str, most: int, names: tuple[str, str, str]) -> DataFrame:
-    """Blocks (ids, block, group) of vectors of one group; vectors that are null or without direction are similar to none and left out."""
+    """Blocks (ids, block, group) of vectors of one group; vectors that are null or without direction are similar to none and left out.
+
+    They are stored, so the task that compares them needs no second Python worker, and none is packed again for each part of the other side.
+    """
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +40,7 @@ def _packed(vectors: DataFrame, key: str, group: Column, vector: str, most: int,
             yield pa.RecordBatch.from_arrays(arrays, names=list(names))
 
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), group.alias("group"), vector)
-    return rows.mapInArrow(blocks, f"{names[0]} array<long>, {names[1]} binary, {names[2]} {rows.schema['group'].dataType.simpleString()}")
+    return durable(rows.mapInArrow(blocks, f"{names[0]} array<long>, {names[1]} binary, {names[2]} {rows.schema['group'].dataType.simpleString()}"))
 
 
 def _best_of_blocks(k: int):
